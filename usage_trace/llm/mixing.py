@@ -111,9 +111,9 @@ def emit(docs: DataFrame, **options) -> DataFrame:
     Rows that share a doc_id are told apart by their order within it.
     """
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.lit(0)))
-    taken = mix(docs, **options).select(F.col("doc_id").alias("_id"), "copies", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("copies").desc())).alias("_n")).where("copies > 0")
-    rows = docs.withColumn("_nth", nth).join(taken, F.col("doc_id").eqNullSafe(F.col("_id"))).where("_nth - _n = 0")
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("_nth", "_id", "_n", "copies")
+    taken = mix(docs, **options).select(F.col("doc_id").alias("__ut_id"), "copies", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("copies").desc())).alias("__ut_n")).where("copies > 0")
+    rows = docs.withColumn("__ut_nth", nth).join(taken, F.col("doc_id").eqNullSafe(F.col("__ut_id"))).where("__ut_nth - __ut_n = 0")
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("__ut_nth", "__ut_id", "__ut_n", "copies")
 
 
 def query(docs: DataFrame) -> DataFrame:

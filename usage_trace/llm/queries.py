@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from usage_trace.llm import mixing, simhash, token_counts
+from usage_trace.llm import language_id, mixing, simhash, substring_dedup, token_counts
 from usage_trace.llm.common import table
 
 QUERIES = {
     "op1_mixing": lambda spark, d: mixing.query(table(spark, d, "documents")),
     "op2_token_counts": lambda spark, d: token_counts.query(table(spark, d, "documents")),
     "op6_simhash": lambda spark, d: simhash.query(table(spark, d, "documents")),
+    "op7_substring_dedup": lambda spark, d: substring_dedup.query(table(spark, d, "documents")),
+    "op8_language_id": lambda spark, d: language_id.query(table(spark, d, "documents")),
 }
 
 ORACLES = {
