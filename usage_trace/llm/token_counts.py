@@ -5,9 +5,9 @@ library, digest one of the content as the tokenizer sees it (a null text is the
 normalised, as that would change counts). A run joins the input's digests to the cache, encodes each
 missing text once, appends the counts, and reads all counts from the cache.
 
-Texts move only when they are missing: each task sends one copy of a text, to the task that its digest
-names, which encodes it at its first sight. Of a text that a third of all rows share, one copy per task
-moves.
+Of the rows that share a missing text, the one of the smallest doc_id stands for it, so texts are joined by
+doc_id, of which no value is frequent, and not by content. Where few are missing, Spark sends their digests to
+the texts; where many are, each text moves once.
 
 Edge cases: null and empty texts have 0 bytes and 0 tokens; rows that repeat a doc_id each give a row; an
 empty table gives none. Special tokens' strings in a text are special tokens, as the library's default has it.
@@ -24,7 +24,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usage_trace.llm.common import new_path
+from usage_trace.llm.common import new_path, staged
 
 LIMIT = 512
 CACHE = "version string, digest binary, n_tokens long"
@@ -53,19 +53,6 @@ def _counter(path: str):
     return lambda texts: [len(x) for x in model.encode_batch_fast(texts, add_special_tokens=False)]
 
 
-def _first_here(batches):
-    """Drops the texts that this task has passed on already."""
-    seen: set[bytes] = set()
-    for batch in batches:
-        digests = batch.column("digest").to_pylist()
-        keep = []
-        for i, d in enumerate(digests):
-            if d not in seen:
-                seen.add(d)
-                keep.append(i)
-        yield batch.take(pa.array(keep, pa.int64()))
-
-
 def _encode_first(path: str, version: str, at_once: int = 64):
     def encode(batches):
         count, seen = _counter(path), set()
@@ -98,10 +85,12 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, limit: int = LIMIT
     spark, version = docs.sparkSession, tokenizer_version(tokenizer)
     text = F.coalesce("text", F.lit(""))
     digest = F.unhex(F.sha2(text.cast("binary"), 256))
-    missing = docs.select(digest.alias("digest"), text.alias("text")).join(read_cache(spark, cache, version), "digest", "left_anti")
-    distinct = missing.mapInArrow(_first_here, "digest binary, text string").repartition("digest")
-    distinct.mapInArrow(_encode_first(tokenizer, version), CACHE).write.mode("append").parquet(cache)
     rows = docs.select("doc_id", digest.alias("digest"), F.octet_length(text).cast("long").alias("n_bytes"))
+    missing = rows.groupBy("digest").agg(F.min("doc_id").alias("owner")).join(read_cache(spark, cache, version), "digest", "left_anti")
+    missing = staged(missing, "misses").withColumnRenamed("digest", "missed")
+    texts = docs.select("doc_id", digest.alias("digest"), text.alias("text"))
+    texts = texts.join(missing, texts["doc_id"].eqNullSafe(missing["owner"]) & (F.col("digest") == F.col("missed"))).select("digest", "text")
+    texts.mapInArrow(_encode_first(tokenizer, version), CACHE).write.mode("append").parquet(cache)
     return rows.join(read_cache(spark, cache, version), "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
