@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from usage_trace.llm import html_extract, language_id, lm_scoring, mixing, simhash, substring_dedup, token_counts
+from usage_trace.llm import decontaminate, html_extract, language_id, lm_scoring, mixing, simhash, substring_dedup, token_counts
 from usage_trace.llm.common import table
 
 QUERIES = {
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_simhash": lambda spark, d: simhash.query(table(spark, d, "documents")),
     "op7_substring_dedup": lambda spark, d: substring_dedup.query(table(spark, d, "documents")),
     "op8_language_id": lambda spark, d: language_id.query(table(spark, d, "documents")),
+    "op9_decontaminate": lambda spark, d: decontaminate.query(table(spark, d, "documents"), table(spark, d, "benchmark")),
 }
 
 ORACLES = {
