@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from usage_trace.llm import decontaminate, html_extract, language_id, license_scan, lm_scoring, mixing, simhash, substring_dedup, token_counts
+from usage_trace.llm import ann, decontaminate, html_extract, language_id, license_scan, lm_scoring, mixing, simhash, substring_dedup, token_counts
 from usage_trace.llm.common import table
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op7_substring_dedup": lambda spark, d: substring_dedup.query(table(spark, d, "documents")),
     "op8_language_id": lambda spark, d: language_id.query(table(spark, d, "documents")),
     "op9_decontaminate": lambda spark, d: decontaminate.query(table(spark, d, "documents"), table(spark, d, "benchmark")),
+    "op10_ann": lambda spark, d: ann.query(table(spark, d, "embeddings")),
     "pipeline": corpus_pipeline.run,
 }
 
