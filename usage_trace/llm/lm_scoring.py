@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from usage_trace.llm.common import crc_mod, staged
 
-WORDS, CLASSES, HEAD, LONGEST = 1024, 512, 1 << 18, 64
+WORDS, CLASSES, HEAD, LONGEST = 1024, 512, 1 << 17, 64
 WIDTH, EVERY, ROUNDS, BATCH, NOISE = 32, 12, 3, 512, 64
 ALPHA = 0.1
 END = b""  # no word is empty
@@ -258,11 +258,14 @@ def fit(docs: DataFrame) -> tuple[DataFrame, Vocabulary, Parameters]:
     learned = docs.where(crc_mod(F.col("doc_id"), 10) != 0).select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
     counts = staged(learned.select("text").mapInArrow(_counts, "token binary, n long").groupBy("token").agg(F.sum("n").alias("c")), "token-counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    head = [(bytes(r["token"]), r["c"]) for r in counts.where(F.octet_length("token") <= LONGEST).orderBy(F.desc("c"), "token").limit(HEAD).collect()]
+    first = counts.where(F.octet_length("token") <= LONGEST).orderBy(F.desc("c"), "token").limit(HEAD).select("token", "c").toArrow()
+    head = list(zip(first.column("token").to_pylist(), first.column("c").to_pylist()))
     kind = F.crc32(F.when(F.octet_length("token") > 3, F.substring("token", -3, 3)).otherwise(F.col("token"))) % CLASSES
     by_class = {r["k"]: (r["c"], r["types"]) for r in counts.groupBy(kind.alias("k")).agg(F.sum("c").alias("c"), F.count("*").alias("types")).collect()}
     vocabulary = Vocabulary(head, by_class, n, v)
-    windows = staged(learned.mapInArrow(_windows(sc.broadcast(vocabulary)), "ids binary"), "windows")
+    shared = sc.broadcast(vocabulary)
+    windows = staged(learned.mapInArrow(_windows(shared), "ids binary"), "windows")
+    shared.unpersist()
     return counts, vocabulary, train(windows, vocabulary)
 
 
