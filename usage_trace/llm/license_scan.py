@@ -26,8 +26,6 @@ import random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from usage_trace.llm.common import ascii_lower
-
 # Notices by which public licences are applied, and central sentences of their texts.
 TEMPLATES = {
     "apache": [
@@ -217,7 +215,7 @@ def default_model() -> Model:
 
 def paragraphs(docs: DataFrame) -> DataFrame:
     """doc_id, paragraph (number, from 0), grams (distinct words and pairs), pairs (how many of them): those with a cue."""
-    text = ascii_lower(F.col("text"))
+    text = F.lower("text")
     inside = "|".join(s for s in STEMS if s not in WHOLE)
     cue = f"{inside}|(?:^|[^a-z0-9])(?:{'|'.join(WHOLE)})(?:$|[^a-z0-9])"
     some = docs.where(functools.reduce(Column.__or__, [F.contains(text, F.lit(s)) for s in STEMS])).select("doc_id", F.posexplode(F.split(text, "\n")).alias("paragraph", "line")).where(F.col("line").rlike(cue))
