@@ -301,6 +301,25 @@ def test_substring_dedup(spark):
     assert substring_dedup.query(edge_docs(spark)).count() == len(EDGES) and substring_dedup.query(edge_docs(spark).limit(0)).count() == 0
 
 
+def test_spans_cover_every_repeated_run(spark):
+    """A short last sentence, a long single one and runs of any lengths go whole; a repeat that is no run stays."""
+    r = random.Random(9)
+    say = lambda n: " ".join(r.choice("abcdefghij") + str(r.randint(0, 99999)) for _ in range(n)).capitalize() + "."
+    passages = [" ".join(say(n) for n in sizes) for sizes in ((25, 25, 4), (4, 25, 25, 3, 2), (60,), (3, 55), (55, 3), (30, 1, 1, 1, 30, 1), (10, 9, 30, 5))]
+    passages += [" ".join(say(r.choice([1, 2, 5, 12, 25, 60])) for _ in range(r.randint(3, 9))) + " " + say(21) for _ in range(20)]
+    stay = [say(30), say(9) + " " + say(9)]
+    texts = [say(14) + " " + p + " " + say(16) for p in passages + stay]
+    own = [(say(17), say(13)) for _ in passages + stay]
+    texts += [a + " " + p + " " + b for (a, b), p in zip(own, passages + stay)]
+    got = {x.doc_id: x for x in substring_dedup.query(docs_of(spark, texts)).collect()}
+    for k, ((a, b), p) in enumerate(zip(own, passages + stay)):
+        assert got[k].text == texts[k] and got[k].n_removed == 0
+        if p in stay:
+            assert got[len(own) + k].text == a + " " + p + " " + b
+        else:
+            assert got[len(own) + k].text == a + " " + b and got[len(own) + k].n_removed == len(substring_dedup.sentences(p))
+
+
 # --- 8 language
 
 

@@ -1,9 +1,11 @@
 """Exact substring dedup over sliding spans of sentences.
 
-A span starts at each sentence and runs over as many whole sentences as it takes to reach both RUN
-sentences and WORDS words, so a passage gives the same spans wherever it stands. Spans are hashed (128
-bits over lower-cased words), joined over the whole corpus, and the sentences of every span that is not
-the first of its hash are removed. The first is the one of the smallest doc_id, and there the leftmost.
+A run of whole sentences counts if it has RUN sentences and WORDS words, or LONG words in however few. From
+each sentence a span goes forward, and from each one backward, over as few sentences as make a run. So a
+passage gives the same spans wherever it stands, and those within any run cover all of it: forward spans from
+its first sentence on, backward ones up to its last. Spans are hashed (128 bits over lower-cased words), joined
+over the whole corpus, and the sentences of every span that is not the first of its hash are removed. The first
+is the one of the smallest doc_id, and there the leftmost. Parts of sentences at a passage's ends stay.
 
 A document sends each of its hashes once, whatever its own repeats, and hashes are aggregated to their
 smallest and largest doc_id before and after the shuffle, so a passage that a third of all documents
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from usage_trace.llm.common import staged
 
-RUN, WORDS = 2, 20
+RUN, WORDS, LONG = 2, 20, 50
 #: Up to a stop before white space or a wide stop, or to the line's end.
 SENTENCE = re.compile(r"[^\s。！？](?:[^.!?\n。！？]|[.!?](?=[^\s]))*[.!?。！？]*")
 
@@ -35,27 +37,45 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
 
 
 def spans(text: str | None, run: int = RUN, least: int = WORDS) -> list[tuple[int, int, bytes]]:
-    """(first sentence, sentence after the last, hash) of each span."""
+    """(first sentence, sentence after the last, hash) of each span, by places."""
     tokens = [text[a:b].lower().split() for a, b in sentences(text)]
-    norm, size = [" ".join(t).encode() for t in tokens], [len(t) for t in tokens]
-    out, j, held = [], 0, 0
-    for i in range(len(norm)):
-        while j < len(norm) and (j - i < run or held < least):
-            held += size[j]
+    norm, upto = [" ".join(t).encode() for t in tokens], [0]
+    for t in tokens:
+        upto.append(upto[-1] + len(t))
+    n = len(norm)
+
+    def enough(i: int, j: int) -> bool:
+        held = upto[j] - upto[i]
+        return held >= LONG or (j - i >= run and held >= least)
+
+    found, i, j = set(), 0, 0
+    while i < n:
+        while j < n and not enough(i, j):
             j += 1
-        if j - i < run or held < least:
+        if not enough(i, j):
             break
-        out.append((i, j, xxhash.xxh3_128_digest(b" ".join(norm[i:j]))))
-        held -= size[i]
-    return out
+        found.add((i, j))
+        i += 1
+    i = 0
+    for j in range(1, n + 1):
+        if enough(i, j):
+            while enough(i + 1, j):
+                i += 1
+            found.add((i, j))
+    return [(i, j, xxhash.xxh3_128_digest(b" ".join(norm[i:j]))) for i, j in sorted(found)]
+
+
+def places(found: list[tuple[int, int, bytes]]) -> list[int]:
+    """A number for each span of a text: its first sentence, or if a shorter span starts there, ~ the sentence after its last."""
+    return [~j if k and found[k - 1][0] == i else i for k, (i, j, _) in enumerate(found)]
 
 
 def cut(text: str, found: list[tuple[int, int, bytes]], repeated: set[int]) -> tuple[str, int, int]:
-    """The text without the sentences of spans in repeated (first positions) or repeated within the text; sentences, and how many of them went."""
+    """The text without the sentences of spans in repeated (places) or repeated within the text; sentences, and how many of them went."""
     ends = sentences(text)
     gone, seen = [False] * len(ends), {}
-    for i, j, h in found:
-        if seen.setdefault(h, i) != i or seen[h] in repeated:
+    for p, (i, j, h) in zip(places(found), found):
+        if seen.setdefault(h, p) != p or seen[h] in repeated:
             gone[i:j] = [True] * (j - i)
     if not any(gone):
         return text, len(ends), 0
@@ -73,8 +93,9 @@ def _hashes(run: int, least: int):
             ids, at, h = [], [], []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 first: dict[bytes, int] = {}
-                for i, _, x in spans(text, run, least):
-                    first.setdefault(x, i)
+                found = spans(text, run, least)
+                for p, (_, _, x) in zip(places(found), found):
+                    first.setdefault(x, p)
                 ids += [doc] * len(first)
                 at += first.values()
                 h += first
