@@ -393,6 +393,15 @@ def test_decontamination_against_all_windows(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_decontamination_of_texts_that_share_an_item_id(spark):
+    r = random.Random(14)
+    say = lambda least, most: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(least, most))) for _ in range(30))
+    items = [(7, say(9, 12)), (7, say(2, 5)), (7, say(2, 5)), (None, say(9, 12)), (None, say(2, 5)), (None, say(2, 5))]  # of equal length; the first has the longest words
+    texts = [say(3, 6) + " " + t + " " + say(3, 6) for _, t in items]
+    got = decontaminate.query(docs_of(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((x.doc_id, x.item_id, x.similarity, x.start) for x in got) == [(i, k, 1.0, 30) for i, (k, _) in enumerate(items)]
+
+
 def test_hamming_blocks_find_all_within_radius(spark):
     r = random.Random(6)
     items = [(i, 30, r.getrandbits(64) - (1 << 63)) for i in range(20)]

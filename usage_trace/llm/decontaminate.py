@@ -51,13 +51,13 @@ def items_of(benchmark: DataFrame) -> DataFrame:
 
 
 def gates(items: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """item_id, n, at (of a shingle in its item), shingle, word (its longest)."""
+    """item, n, at (of a shingle in its item), shingle, word (its longest); item is unique to a text, as item_id need not be."""
     longest = F.element_at(F.array_sort(F.transform(F.split("shingle", " "), lambda x: F.struct((-F.length(x)).alias("l"), x.alias("w")))), 1)["w"]
-    each = items.select("item_id", "n", F.size("bag").alias("s"), F.posexplode("bag").alias("at", "shingle")).withColumn("word", longest)
+    each = items.select("item", "n", F.size("bag").alias("s"), F.posexplode("bag").alias("at", "shingle")).withColumn("word", longest)
     own = F.struct((-F.length("word")).alias("l"), "word", "at", "shingle")
     few = F.floor(F.col("s") * F.lit(1 - similar) + 1e-9).cast("int") + 1
-    picked = each.groupBy("item_id", "n", "s").agg(F.array_sort(F.collect_list(own)).alias("all")).select("item_id", "n", F.explode(F.slice("all", F.lit(1), few)).alias("g"))
-    return picked.select("item_id", "n", "g.at", "g.shingle", "g.word")
+    picked = each.groupBy("item", "n", "s").agg(F.array_sort(F.collect_list(own)).alias("all")).select("item", "n", F.explode(F.slice("all", F.lit(1), few)).alias("g"))
+    return picked.select("item", "n", "g.at", "g.shingle", "g.word")
 
 
 def _stretches(docs: DataFrame, gate: list, reach: int) -> DataFrame:
@@ -83,7 +83,7 @@ def windows(docs: DataFrame, gated: DataFrame, similar: float = SIMILAR) -> Data
     out, slack = None, (1 - similar) / (1 + similar)
     reads = docs.select("doc_id", "text").where("text IS NOT NULL")
     blocks = gated.select((F.dense_rank().over(_by_item()) / F.lit(ITEMS)).cast("int").alias("block"), "*")
-    for block in range((gated.select("item_id").distinct().count()) // ITEMS + 1):
+    for block in range((gated.select("item").distinct().count()) // ITEMS + 1):
         gate = blocks.where(F.col("block") == block).drop("block").distinct()
         rows = gate.collect()
         if not rows:
@@ -105,7 +105,7 @@ def windows(docs: DataFrame, gated: DataFrame, similar: float = SIMILAR) -> Data
 def _by_item():
     from pyspark.sql import Window
 
-    return Window.orderBy("item_id")
+    return Window.orderBy("item")
 
 
 def simhash(bags: DataFrame, key: list[str]) -> DataFrame:
