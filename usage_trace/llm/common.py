@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
+#: The number of a row, by which operators tell rows apart, as ids may be null or repeat. Names that start with __ut_ are reserved.
+ROW = "__ut_row"
+
 _roots: dict[str, tuple] = {}
 
 
@@ -69,6 +72,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, name: str = "rows") -> DataFrame:
+    """docs with ROW, written once, so that every read of a row has the same number whatever tasks are lost or dealt anew."""
+    return staged(docs.withColumn(ROW, F.monotonically_increasing_id()), name)
+
+
+def rank(doc_id: str = "doc_id") -> Column:
+    """(d, row): rows by doc_id, null last, then by number; d is a null id's as the largest long."""
+    return F.struct(F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1)).alias("d"), F.col(ROW).alias("row"))
+
+
 def words(text: Column) -> Column:
     """The words of a text; an empty array for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), GAP), "")

@@ -9,8 +9,9 @@ Ordering by size makes neighbours alike, so the words taken from a source differ
 about one of its largest documents at most.
 
 Edge cases: a null text has size 0; a null source is a source of its own, after all others; an empty
-table gives an empty result; rows that repeat a doc_id count as rows of their own; other columns of
-the input are not read (query) or carried along (`emit`).
+table gives an empty result; rows that repeat a doc_id, or have none, count as rows of their own; other
+columns of the input are not read (query) or carried along (`emit`, which tells rows apart by a number
+that is written with them).
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from usage_trace.llm.common import staged, words
+from usage_trace.llm.common import ROW, numbered, staged, words
 
 #: Parts of a copy. With 3 copies at most, a source may hold 2**37 documents before a sum overflows.
 UNIT = 1 << 24
@@ -30,7 +31,9 @@ WEIGHTS = (1, 2, 3)
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"))
+    """doc_id, ROW (0 if docs aren't numbered), source, size."""
+    row = F.col(ROW) if ROW in docs.columns else F.lit(0).cast("long").alias(ROW)
+    return docs.select(F.col("doc_id").cast("long"), row, F.col("source").cast("string"), F.size(words(F.col("text"))).cast("long").alias("size"))
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
@@ -74,30 +77,30 @@ def _prefix_sums(batches):
             sums = pc.add(pc.cumulative_sum(run), total)
             before.append(pc.subtract(sums, run))
             total, start = sums[-1].as_py(), end
-        columns = {n: batch.column(n) for n in ("doc_id", "source", "size", "source_size", "target", "units")}
+        columns = {n: batch.column(n) for n in ("doc_id", ROW, "source", "size", "source_size", "target", "units")}
         yield pa.RecordBatch.from_pydict(columns | {"before": pa.concat_arrays(before), "part": pa.array([part] * batch.num_rows, pa.int32())})
 
 
 def systematic_sample(expected: DataFrame, seed: int = 0) -> DataFrame:
-    """Adds copies to rows of doc_id, source, size, source_size, target, units (expected copies x UNIT).
+    """Adds copies to rows of doc_id, ROW, source, size, source_size, target, units (expected copies x UNIT).
 
     One sort by range deals even a source with a third of all rows over many tasks; each task sums up
     its own rows, and the totals of the earlier tasks (a row per task and source) are added after it.
     """
-    order = [F.col("source").asc_nulls_last(), F.col("size"), F.col("doc_id")]
-    rows = expected.select("doc_id", "source", "size", "source_size", "target", "units").repartitionByRange(*order).sortWithinPartitions(*order)
-    schema = "doc_id long, source string, size long, source_size long, target double, units long, before long, part int"
+    order = [F.col("source").asc_nulls_last(), F.col("size"), F.col("doc_id"), F.col(ROW)]
+    rows = expected.select("doc_id", ROW, "source", "size", "source_size", "target", "units").repartitionByRange(*order).sortWithinPartitions(*order)
+    schema = f"doc_id long, {ROW} long, source string, size long, source_size long, target double, units long, before long, part int"
     local = staged(rows.mapInArrow(_prefix_sums, schema), "mix")
     earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     start = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce("source", F.lit("")))), 1, 6), 16, 10).cast("long")
     offsets = local.groupBy("source", "part").agg(F.sum("units").alias("sum")).select(F.col("source").alias("s"), F.col("part").alias("p"), (F.coalesce(F.sum("sum").over(earlier), F.lit(0)) + start).alias("offset"))
     at = F.col("before") + F.col("offset")
     crossed = lambda x: F.shiftright(x, UNIT.bit_length() - 1)
-    return local.join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p"))).select("doc_id", "source", "size", "source_size", "target", (crossed(at + F.col("units")) - crossed(at)).alias("copies"))
+    return local.join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p"))).select("doc_id", ROW, "source", "size", "source_size", "target", (crossed(at + F.col("units")) - crossed(at)).alias("copies"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = 0) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies of every document."""
+    """doc_id, ROW, source, size, source_size, target, copies of every document."""
     sized = staged(sizes(docs), "sizes")
     goal = targets(sized, weights, most).withColumnRenamed("source", "s")
     share = F.when(F.col("source_size") == 0, F.lit(0)).otherwise(F.floor(F.col("target") * F.lit(float(UNIT)) / F.greatest(F.col("source_size"), F.lit(1)).cast("double"))).cast("long")
@@ -108,12 +111,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_CO
 def emit(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the rows of docs, once per copy, with the number of the copy as copy.
 
-    Rows that share a doc_id are told apart by their order within it.
+    If docs has a column copy (in any case), the number is in the first of copy_2, copy_3, ... that docs hasn't.
     """
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.lit(0)))
-    taken = mix(docs, **options).select(F.col("doc_id").alias("__ut_id"), "copies", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("copies").desc())).alias("__ut_n")).where("copies > 0")
-    rows = docs.withColumn("__ut_nth", nth).join(taken, F.col("doc_id").eqNullSafe(F.col("__ut_id"))).where("__ut_nth - __ut_n = 0")
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("__ut_nth", "__ut_id", "__ut_n", "copies")
+    rows, held = numbered(docs), {c.lower() for c in docs.columns}
+    name = next(n for n in ("copy", *(f"copy_{i}" for i in range(2, len(held) + 3))) if n not in held)
+    taken = mix(rows, **options).where("copies > 0").select(ROW, F.col("copies").cast("int").alias("__ut_copies"))
+    return rows.join(taken, ROW).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__ut_copies"))).alias(name))
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -10,8 +10,10 @@ Equal fingerprints are one trie leaf, with their smallest doc_id, so exact copie
 block passes on the edges of a spanning forest, at most one per fingerprint, and no list of pairs.
 
 Edge cases: a text with fewer than 3 words is one shingle; null, empty and blank texts have fingerprint
-zero and are linked like others; a null doc_id has a fingerprint, and is in no min(); repeated rows each
-give a row; an empty table gives an empty result.
+zero and are linked like others; a null doc_id has a fingerprint and links, and is the least of no component
+but one of null ids alone, whose component_id is null; repeated rows each give a row (`keep_one` keeps one of
+them, by a number that is written with the rows); an empty table gives an empty result; further columns are
+ignored, or carried along by `keep_one`.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from usage_trace.llm.common import staged
+from usage_trace.llm.common import ROW, numbered, rank, staged
 
 SHINGLE = 3
 BUDGET = 2
@@ -55,12 +57,13 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 def _fingerprints(batches):
     for batch in batches:
         found = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64)
-        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "fp": pa.array(found.view(np.int64), pa.int64())})
+        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), ROW: batch.column(ROW), "fp": pa.array(found.view(np.int64), pa.int64())})
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the bits as a signed long) of whole texts."""
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    """doc_id, ROW (0 if docs aren't numbered), fp (the bits as a signed long) of whole texts."""
+    row = F.col(ROW) if ROW in docs.columns else F.lit(0).cast("long").alias(ROW)
+    return docs.select(F.col("doc_id").cast("long"), row, F.col("text").cast("binary").alias("text")).mapInArrow(_fingerprints, f"doc_id long, {ROW} long, fp long")
 
 
 def _masks(bits: int, budget: int) -> list[int]:
@@ -201,27 +204,32 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
         if now == last:
             break
         last = now
+    else:
+        raise RuntimeError(f"components of {now[0]} edges weren't found in {most_rounds} rounds")
     roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
 def near_duplicates(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """doc_id, fp, component_id: the smallest doc_id that links of at most budget differing bits lead to."""
+    """doc_id, ROW, fp, and least: the rank (see common.rank) of the first row that links of at most budget differing bits lead to."""
     made = staged(fingerprints(docs), "fingerprints")
-    leaves = staged(made.groupBy("fp").agg(F.min("doc_id").alias("least")), "leaves")
+    leaves = staged(made.groupBy("fp").agg(F.min(rank()).alias("least")), "leaves")
     met = blocks(leaves.select("fp"), leaves.count(), budget)
     roots = staged(components(met.groupBy("depth", "node").applyInPandas(_forest(budget), "a long, b long")), "roots")
     tied = roots.join(leaves, roots["node"] == leaves["fp"])
     of_root = tied.groupBy("root").agg(F.min("least").alias("component"))
     named = leaves.join(roots.join(of_root, "root").select(F.col("node").alias("fp"), "component"), "fp", "left")
-    return made.join(named.select("fp", F.coalesce("component", "least").alias("component_id")), "fp").select("doc_id", "fp", "component_id")
+    return made.join(named.select("fp", F.coalesce("component", "least").alias("least")), "fp").select("doc_id", ROW, "fp", "least")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents that are the smallest doc_id of their component; a null doc_id stays."""
-    drop = near_duplicates(docs).where("doc_id <> component_id").select("doc_id")
-    return docs.join(drop, "doc_id", "left_anti")
+def keep_one(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """The first row of each component: the one of the smallest doc_id (null last), of equal ids that of the smallest number."""
+    rows = numbered(docs)
+    gone = near_duplicates(rows, budget).where(F.col(ROW) != F.col("least.row")).select(ROW)
+    return rows.join(gone, ROW, "left_anti").select(*docs.columns)
 
 
 def query(docs: DataFrame) -> DataFrame:
-    return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    d = F.col("least.d")
+    component = F.when(d != F.lit((1 << 63) - 1), d).otherwise(F.col("doc_id"))  # only null ids, or the largest
+    return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), component.alias("component_id"))

@@ -3,29 +3,33 @@
 A run of whole sentences counts if it has RUN sentences and WORDS words, or LONG words in however few. From
 each sentence a span goes forward, and from each one backward, over as few sentences as make a run. So a
 passage gives the same spans wherever it stands, and those within any run cover all of it: forward spans from
-its first sentence on, backward ones up to its last. Spans are hashed (128 bits over lower-cased words), joined
+its first sentence on, backward ones up to its last. Spans are hashed (96 bits over lower-cased words), joined
 over the whole corpus, and the sentences of every span that is not the first of its hash are removed. The first
-is the one of the smallest doc_id, and there the leftmost. Parts of sentences at a passage's ends stay.
+is the one of the smallest doc_id (a null one after all others), and there the leftmost. Parts of sentences at a
+passage's ends stay.
 
-A document sends each of its hashes once, whatever its own repeats, and hashes are aggregated to their
-smallest and largest doc_id before and after the shuffle, so a passage that a third of all documents
-share is one row per task. Texts are joined only to the positions that go.
+A document sends each of its hashes once, whatever its own repeats, and hashes are aggregated to their first
+document and their number before and after the shuffle, so a passage that a third of all documents share is one
+row per task. Texts are joined only to the positions that go.
 
-Edge cases: null and blank texts have no sentences and stay as they are; a null doc_id takes no part; rows
-that repeat a doc_id are the same document, none of them a repeat of another; an empty table gives an empty
-result. Text without sentence ends is one sentence per line, of any length.
+Edge cases: documents are rows, by a number that is written with them, so rows that repeat a doc_id, or have
+none, are documents of their own: of equal ids the row with the smallest number is the first; null and blank
+texts have no sentences and stay as they are; an empty table gives an empty result; further columns are carried
+along. Text without sentence ends is one sentence per line, of any length.
 """
 
 from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructType
 
-from usage_trace.llm.common import staged
+from usage_trace.llm.common import ROW, numbered, rank, staged
 
 RUN, WORDS, LONG = 2, 20, 50
 #: Up to a stop before white space or a wide stop, or to the line's end.
@@ -90,19 +94,18 @@ def cut(text: str, found: list[tuple[int, int, bytes]], repeated: set[int]) -> t
 def _hashes(run: int, least: int):
     def hashes(batches):
         for batch in batches:
-            ids, at, h = [], [], []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            of, at, h = [], [], []
+            for k, text in enumerate(batch.column("text").to_pylist()):
                 first: dict[bytes, int] = {}
                 found = spans(text, run, least)
                 for p, (_, _, x) in zip(places(found), found):
                     first.setdefault(x, p)
-                ids += [doc] * len(first)
+                of += [k] * len(first)
                 at += first.values()
                 h += first
-            both = pa.py_buffer(b"".join(h))
-            pair = pa.Array.from_buffers(pa.int64(), 2 * len(h), [None, both])
-            even = pa.array(range(0, 2 * len(h), 2), pa.int64())
-            yield pa.RecordBatch.from_pydict({"h1": pair.take(even), "h2": pair.take(pa.compute.add(even, 1)), "doc_id": pa.array(ids, pa.int64()), "at": pa.array(at, pa.int32())})
+            x = np.frombuffer(b"".join(h), np.int64).reshape(-1, 2)
+            ids = {c: batch.column(c).take(pa.array(of, pa.int32())) for c in (ROW, "doc_id")}
+            yield pa.RecordBatch.from_pydict({"h1": pa.array(x[:, 0].copy()), "h2": pa.array(x[:, 1].astype(np.int32)), **ids, "at": pa.array(at, pa.int32())})
 
     return hashes
 
@@ -119,25 +122,24 @@ def _cuts(run: int, least: int):
 
 
 def remove_repeats(docs: DataFrame, run: int = RUN, least: int = WORDS) -> DataFrame:
-    """docs with their texts cut, and __ut_sentences and __ut_removed (names that start with __ut_ are reserved): how many there were, and how many went."""
-    import pyarrow.compute  # noqa: F401
-
-    made = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInArrow(_hashes(run, least), "h1 long, h2 long, doc_id long, at int")
+    """docs with their texts cut, and __ut_sentences and __ut_removed: how many there were, and how many went."""
+    rows = numbered(docs)
+    made = rows.where("text IS NOT NULL").select(ROW, F.col("doc_id").cast("long"), "text").mapInArrow(_hashes(run, least), f"h1 long, h2 int, {ROW} long, doc_id long, at int")
     made = staged(made, "spans")
-    shared = made.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    repeated = made.join(shared, ["h1", "h2"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_set("at").alias("__ut_repeated"))
-    from pyspark.sql.types import IntegerType, StructType
-
-    joined = docs.join(repeated, "doc_id", "left").select(*docs.columns, "__ut_repeated")
+    shared = made.groupBy("h1", "h2").agg(F.min(rank()).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", F.col("first.row").alias("first"))
+    shared = staged(shared, "shared")  # its size is known then; where few spans repeat, it is broadcast
+    repeated = made.select("h1", "h2", ROW, "at").join(shared, ["h1", "h2"]).where(F.col(ROW) != F.col("first")).groupBy(ROW).agg(F.collect_set("at").alias("__ut_repeated"))
+    joined = rows.join(repeated, ROW, "left").select(*docs.columns, "__ut_repeated")
     schema = StructType(list(docs.schema.fields)).add("__ut_sentences", IntegerType()).add("__ut_removed", IntegerType())
     return joined.mapInArrow(_cuts(run, least), schema)
 
 
 def keep_rest(docs: DataFrame) -> DataFrame:
-    """docs with cut texts and their n_chars, without those of which nothing is left."""
-    cut_ = remove_repeats(docs)
-    kept = cut_.where("__ut_removed = 0 OR text <> ''")
-    return kept.withColumn("n_chars", F.when(F.col("__ut_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
+    """docs with cut texts and their n_chars (if docs has it), without those of which nothing is left."""
+    kept = remove_repeats(docs).where("__ut_removed = 0 OR text <> ''")
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.when(F.col("__ut_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return kept.select(*docs.columns)
 
 
 def query(docs: DataFrame) -> DataFrame:
