@@ -61,8 +61,8 @@ def test_time_is_linear(name):
 
 
 def test_edges(spark):
-    rows = [(1, "u", PAGES["math"][0], 5), (1, "u", PAGES["math"][0], 5), (None, None, "<p>" + "word " * 200_000 + "</p>", 5), (2, "v", "<p data-label='x'>", 5), (3, "w", "</p></div>", 5)]
+    rows = [(1, "u", PAGES["math"][0], 5), (1, "u", PAGES["math"][0], 5), (None, None, "<p>" + "Some words of prose. " * 50_000 + "</p>", 5), (2, "v", "<p data-label='x'>", 5), (3, "w", "</p></div>", 5)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
     got = sorted(((x.page_id, x.n_chars, x.text) for x in html_extract.query(df).collect()), key=str)
-    assert [x[:2] for x in got] == sorted([(1, len(PAGES["math"][1]))] * 2 + [(None, 999_999), (2, 0), (3, 0)], key=str)
+    assert [x[:2] for x in got] == sorted([(1, len(PAGES["math"][1]))] * 2 + [(None, 1_049_999), (2, 0), (3, 0)], key=str)
     assert html_extract.query(df.limit(0)).count() == 0

@@ -179,7 +179,7 @@ def test_html(spark):
 def test_html_model_on_pages_not_trained_on():
     model, right, n = html_extract.default_model(), 0, 0
     for page in html_extract.labelled_pages(40, seed=99):
-        nodes, labels = html_extract.parse(page), []
+        nodes, labels = html_extract.parse(page, labelled=True), []
         for x in nodes:
             labels.append(x.label if x.label is not None else labels[x.parent] if x.parent >= 0 else 0)
         p, _ = html_extract.marginals(nodes, model.scores(html_extract.describe(nodes)), model.pair)

@@ -32,7 +32,9 @@ from pyspark.sql import functions as F
 from usage_trace.llm.common import crc_mod, staged
 
 WORDS, CLASSES, HEAD, LONGEST = 1024, 512, 1 << 17, 64
-WIDTH, EVERY, ROUNDS, BATCH, NOISE = 32, 12, 3, 512, 64
+WIDTH, BATCH, NOISE = 32, 512, 64
+#: Of SHARES parts of the windows, up to which each round trains; windows of a row of the table of windows.
+SHARES, ROUNDS, ROW_WINDOWS = 8, (1, 2, 4, 8), 1 << 16
 ALPHA = 0.1
 END = b""  # no word is empty
 
@@ -107,18 +109,25 @@ class Vocabulary:
 def _windows(shared):
     def windows(batches):
         vocabulary, held, size = shared.value, [], 0
+
+        def rows(upto: int):
+            """Whole rows of the windows held, and the rest."""
+            all_ = np.concatenate(held)
+            blobs = [all_[k : k + ROW_WINDOWS].tobytes() for k in range(0, upto, ROW_WINDOWS)]
+            return pa.RecordBatch.from_pydict({"ids": pa.array(blobs, pa.binary())}), all_[upto:]
+
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            for text in batch.column("text").to_pylist():
                 ids, _, _ = vocabulary.look_up(text)
                 w1, w2 = vocabulary.before(ids)
-                at = slice(zlib.crc32(b"w%d" % doc) % EVERY, None, EVERY)
-                held.append(np.stack([w2[at], w1[at], ids[at]], axis=1))
-                size += len(held[-1])
-                if size >= 1 << 18:
-                    yield pa.RecordBatch.from_pydict({"ids": pa.array([np.concatenate(held).tobytes()], pa.binary())})
-                    held, size = [], 0
+                held.append(np.stack([w2, w1, ids], axis=1))
+                size += len(ids)
+                if size >= 8 * ROW_WINDOWS:
+                    made, rest = rows(size - size % ROW_WINDOWS)
+                    held, size = [rest], len(rest)
+                    yield made
         if size:
-            yield pa.RecordBatch.from_pydict({"ids": pa.array([np.concatenate(held).tobytes()], pa.binary())})
+            yield rows(size)[0]
 
     return windows
 
@@ -145,40 +154,45 @@ class Parameters:
             setattr(self, n, flat[at : at + old.size].reshape(old.shape).astype(np.float32))
             at += old.size
 
-    def _step(self, name: str, rows: np.ndarray | None, gradient: np.ndarray, rate: float) -> None:
+    def _step(self, value: np.ndarray, squares: np.ndarray, rows: np.ndarray, gradient: np.ndarray, rate) -> None:
         """AdaGrad; rows may repeat."""
-        value, squares = getattr(self, name), self.squares[name]
-        if rows is None:
-            squares += gradient**2
-            value += rate * gradient / np.sqrt(squares)
-            return
-        order = np.argsort(rows, kind="stable")
+        order = np.argsort(rows, kind="stable")  # of short integers, so by radix
         sorted_ = rows[order]
         firsts = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
-        own, sums = sorted_[firsts], np.add.reduceat(gradient[order], firsts, axis=0)
-        squares[own] += sums**2
-        value[own] += rate * sums / np.sqrt(squares[own])
+        own, sums = sorted_[firsts], np.add.reduceat(gradient.take(order, axis=0), firsts, axis=0)
+        more = squares[own] + sums**2
+        squares[own] = more
+        value[own] += rate * sums / np.sqrt(more)
 
     def train(self, windows: np.ndarray, r: np.random.Generator, rate: float) -> None:
         """Noise-contrastive steps: each batch shares its noise tokens."""
         if self.squares is None:
-            self.squares = {n: np.full_like(getattr(self, n), 1e-2) for n in self.NAMES}
-        windows = windows[r.permutation(len(windows))].astype(np.int64)
+            self.squares = [np.full((len(self.q), WIDTH + 1), 1e-2, np.float32), np.full_like(self.x, 1e-2), np.full_like(self.c, 1e-2)]
+        sq, sx, sc = self.squares
+        qb = np.concatenate([self.q, self.b[:, None]], axis=1)  # the bias is the weight of a constant
+        rates = np.full(WIDTH + 1, rate, np.float32)
+        rates[-1] *= 0.5
+        scale, windows = np.float32(1 / 64), windows[r.permutation(len(windows))]
         for k in range(0, len(windows), BATCH):
-            w2, w1, w = windows[k : k + BATCH].T
-            noise = np.minimum(np.searchsorted(self.noise, r.random(NOISE)), len(self.b) - 1)
-            x1, x2, q, qn = self.x[w1], self.x[w2], self.q[w], self.q[noise]
-            h = x1 * self.c[0] + x2 * self.c[1]
-            true = 1 / (1 + np.exp(np.clip((h * q).sum(1) + self.b[w] - self.log_noise[w], -30, 30)))  # 1 - P(data)
-            false = 1 / (1 + np.exp(-np.clip(h @ qn.T + (self.b[noise] - self.log_noise[noise]), -30, 30)))  # P(data)
-            scale = np.float32(1 / 64)
-            true, false = true * scale, false * scale
-            dh = true[:, None] * q - false @ qn
-            self._step("q", np.concatenate([w, noise]), np.concatenate([true[:, None] * h, -(false.T @ h)]), rate)
-            self._step("b", np.concatenate([w, noise]), np.concatenate([true, -false.sum(0)]), rate * 0.5)
-            dc = np.stack([(dh * x1).sum(0), (dh * x2).sum(0)])
-            self._step("x", np.concatenate([w1, w2]), np.concatenate([dh * self.c[0], dh * self.c[1]]), rate)
-            self._step("c", None, dc, rate * 0.1)
+            w2, w1, w = (windows[k : k + BATCH, i].copy() for i in range(3))
+            noise = np.minimum(np.searchsorted(self.noise, r.random(NOISE)), len(self.b) - 1).astype(np.int16)
+            x1, x2, q, qn = self.x.take(w1, axis=0), self.x.take(w2, axis=0), qb.take(w, axis=0), qb.take(noise, axis=0)
+            h = np.ones((len(w), WIDTH + 1), np.float32)
+            h[:, :-1] = x1 * self.c[0] + x2 * self.c[1]
+            true = scale / (1 + np.exp(np.clip(np.einsum("ij,ij->i", h, q) - self.log_noise[w], -30, 30)))  # 1 - P(data)
+            false = h @ qn.T
+            false -= self.log_noise[noise]
+            np.clip(false, -30, 30, out=false)
+            np.exp(-false, out=false)
+            false += 1
+            np.divide(scale, false, out=false)  # P(data)
+            dh = true[:, None] * q[:, :-1] - false @ qn[:, :-1]
+            self._step(qb, sq, np.concatenate([w, noise]), np.concatenate([true[:, None] * h, -(false.T @ h)]), rates)
+            dc = np.stack([np.einsum("ij,ij->j", dh, x1), np.einsum("ij,ij->j", dh, x2)])
+            self._step(self.x, sx, np.concatenate([w1, w2]), np.concatenate([dh * self.c[0], dh * self.c[1]]), rate)
+            sc += dc**2
+            self.c += np.float32(rate * 0.1) * dc / np.sqrt(sc)
+        self.q, self.b = qb[:, :-1].copy(), qb[:, -1].copy()
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Log10 factors of (w1, w) and (w2, w), and log10 normalisers of (w1, w2)."""
@@ -190,45 +204,52 @@ class Parameters:
 
 
 def _trainer(shared, number: int):
+    first, last = ([0, *ROUNDS][number : number + 2])
+
     def train(batches):
         from pyspark import TaskContext
 
         parameters, rate = shared.value
-        r, n = np.random.default_rng([number, TaskContext.get().partitionId()]), 0
+        part = TaskContext.get().partitionId()
+        r, n = np.random.default_rng([number, part]), 0
         for batch in batches:
             for blob in batch.column("ids").to_pylist():
                 rows = np.frombuffer(blob, np.int16).reshape(-1, 3)
+                rows = rows[len(rows) * first // SHARES : len(rows) * last // SHARES]
                 parameters.train(rows, r, rate)
                 n += len(rows)
         if n:
-            yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64()), "flat": pa.array([parameters.flat().tobytes()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "n": pa.array([n], pa.int64()), "flat": pa.array([parameters.flat().tobytes()], pa.binary())})
 
     return train
 
 
 def _average(batches):
-    total, n = None, 0
+    total, n, least = None, 0, None
     for batch in batches:
-        for k, flat in zip(batch.column("n").to_pylist(), batch.column("flat").to_pylist()):
-            part = np.frombuffer(flat, np.float32).astype(np.float64) * k
-            total, n = part if total is None else total + part, n + k
+        for part, k, flat in zip(*(batch.column(c).to_pylist() for c in ("part", "n", "flat"))):
+            own = np.frombuffer(flat, np.float32).astype(np.float64) * k
+            total, n, least = own if total is None else total + own, n + k, part if least is None else least
     if n:
-        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64()), "flat": pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"part": pa.array([least], pa.int32()), "n": pa.array([n], pa.int64()), "flat": pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())})
 
 
 def train(windows: DataFrame, vocabulary: Vocabulary) -> Parameters:
-    """Trains on every window. Of so many tasks the square root average the others' results; their averages go to the driver."""
+    """Trains once on every window, in rounds of growing parts of them.
+
+    Of so many tasks the square root average the others' results, in order of their numbers; their averages go to the driver.
+    """
     sc = windows.sparkSession.sparkContext
-    parameters, schema = Parameters(vocabulary.unigram), "n long, flat binary"
+    parameters, schema = Parameters(vocabulary.unigram), "part int, n long, flat binary"
     groups = max(1, math.isqrt(windows.rdd.getNumPartitions()))
-    for k in range(ROUNDS):
+    for k in range(len(ROUNDS)):
         shared = sc.broadcast((parameters, 0.3 / (1 + k)))
-        averaged = windows.mapInArrow(_trainer(shared, k), schema).repartition(groups).mapInArrow(_average, schema).collect()
+        trained = windows.mapInArrow(_trainer(shared, k), schema).repartition(groups, F.pmod("part", F.lit(groups))).sortWithinPartitions("part")
+        averaged = sorted(trained.mapInArrow(_average, schema).collect(), key=lambda x: x["part"])
         shared.unpersist()
-        n = sum(r["n"] for r in averaged)
-        if not n:
-            break
-        parameters.set(sum(np.frombuffer(r["flat"], np.float32).astype(np.float64) * (r["n"] / n) for r in averaged))
+        n = sum(x["n"] for x in averaged)
+        if n:
+            parameters.set(sum(np.frombuffer(x["flat"], np.float32).astype(np.float64) * (x["n"] / n) for x in averaged))
     return parameters
 
 
