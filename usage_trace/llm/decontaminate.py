@@ -4,21 +4,24 @@ A document is contaminated by an item if the 5-word shingles of a window of the
 Jaccard similarity (a shingle weighs its number of occurrences) of 0.8 or more to the item's. Steps:
 
 1. Such a window lacks fewer than a fifth of the item's shingles, so of any G = floor(S / 5) + 1 of its S
-   shingles it holds one. The G with the longest words are the item's gate. A document's words are compared to
-   the gates' longest words, then the shingles around a match to the gates' shingles, within one pass over the
-   texts; only stretches of words around a gate's shingle go on. No window that qualifies is lost.
-2. Windows of the item's size lie over each such stretch so that the shingle stands where it stands in the
-   item, give or take the words that the similarity leaves room for; at a text's ends they are cut.
-3. Every window has a 64-bit SimHash. Fingerprints are cut into RADIUS + 1 blocks, and windows and items of
-   one size are joined on equal blocks: within the radius, one block at least is equal.
+   shingles it holds one. The G with the longest words are the item's gate. One pass over the texts compares the
+   hash of every shingle of theirs to those of all gates; no window that qualifies is lost.
+2. Windows of the item's size lie so that a gate's shingle stands where it stands in the item, give or take the
+   words that the similarity leaves room for; at a text's ends they are cut. Only texts with a gate's shingle are
+   read for them, and a window is for the item of its gate, so there are no pairs of all windows and all items.
+3. Every window has a 64-bit SimHash. Fingerprints are cut into RADIUS + 1 blocks, and windows and their items
+   are joined on equal blocks: within the radius, one block at least is equal.
 4. The pairs within the radius are verified by the exact similarity of their bags of shingles.
 
-All of it is DataFrame operations. Items are handled ITEMS at a time, so what is sent to the tasks is bounded,
-and no text is shuffled. A SimHash counts in lanes of 15 bits; windows of more shingles are verified directly.
+All of it is DataFrame operations. Hashes of gates are broadcast while they are GATES or fewer, and joined by a
+shuffle beyond that. No text is shuffled, unless the texts with a gate's shingle are too many for their numbers to
+be broadcast. A SimHash counts in lanes of 15 bits; windows of more shingles are verified directly.
 
 Edge cases: null and blank texts and items match nothing; an item of fewer than 5 words is one shingle; A-Z are
-lower-cased; rows that repeat a doc_id or item_id count as one document or several texts of one item; empty
-tables give an empty result; further columns are ignored.
+lower-cased; documents are rows, by a number that is written with them, so rows that repeat a doc_id or have none
+are found, and kept, by their own texts; rows that repeat an item_id are several texts of one item; of windows of
+one content and one similarity the first place counts; empty tables give an empty result; further columns are
+ignored, or carried along by `keep_clean`.
 """
 
 from __future__ import annotations
@@ -28,9 +31,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from usage_trace.llm.common import ascii_lower, staged, words
+from usage_trace.llm.common import ROW, ascii_lower, numbered, staged, words
 
-SHINGLE, SIMILAR, RADIUS, ITEMS = 5, 0.8, 19, 1000
+SHINGLE, SIMILAR, RADIUS = 5, 0.8, 22
+#: Gates whose hashes are broadcast.
+GATES = 1 << 20
 LANE = (1 << 15) - 1
 
 
@@ -51,61 +56,50 @@ def items_of(benchmark: DataFrame) -> DataFrame:
 
 
 def gates(items: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """item, n, at (of a shingle in its item), shingle, word (its longest); item is unique to a text, as item_id need not be."""
-    longest = F.element_at(F.array_sort(F.transform(F.split("shingle", " "), lambda x: F.struct((-F.length(x)).alias("l"), x.alias("w")))), 1)["w"]
-    each = items.select("item", "n", F.size("bag").alias("s"), F.posexplode("bag").alias("at", "shingle")).withColumn("word", longest)
-    own = F.struct((-F.length("word")).alias("l"), "word", "at", "shingle")
+    """item, n, at (of a shingle in its item), h (the shingle's), k (its words); item is unique to a text, as item_id need not be."""
+    longest = F.array_max(F.transform(F.split("shingle", " "), F.length))
+    each = items.select("item", "n", F.size("bag").alias("s"), F.posexplode("bag").alias("at", "shingle"))
+    own = F.struct((-longest).alias("l"), "shingle", "at")
     few = F.floor(F.col("s") * F.lit(1 - similar) + 1e-9).cast("int") + 1
     picked = each.groupBy("item", "n", "s").agg(F.array_sort(F.collect_list(own)).alias("all")).select("item", "n", F.explode(F.slice("all", F.lit(1), few)).alias("g"))
-    return picked.select("item", "n", "g.at", "g.shingle", "g.word")
-
-
-def _stretches(docs: DataFrame, gate: list, reach: int) -> DataFrame:
-    """doc_id, shingle (a gate's), p (where it is), base (where the stretch begins), stretch (words)."""
-    tokens = words(ascii_lower(F.col("text")))
-    own = sorted({g["word"] for g in gate})
-    found = sorted({g["shingle"] for g in gate})
-    lengths = sorted({s.count(" ") + 1 for s in found})
-
-    def around(t: Column) -> Column:
-        hits = F.filter(F.sequence(F.lit(1), F.size(t)), lambda i: F.element_at(t, i).isin(own))
-        of_length = lambda k: lambda p: F.struct(p.alias("p"), F.array_join(F.slice(t, p, k), " ").alias("shingle"))
-        starts = F.flatten(F.transform(hits, lambda i: F.flatten(F.array(*[F.transform(F.sequence(F.greatest(F.lit(1), i - (k - 1)), i), of_length(k)) for k in lengths]))))
-        kept = F.array_distinct(F.filter(starts, lambda x: x["shingle"].isin(found)))
-        return F.transform(kept, lambda x: F.struct(x["p"].alias("p"), x["shingle"].alias("shingle"), F.greatest(F.lit(1), x["p"] - reach).alias("base"), F.slice(t, F.greatest(F.lit(1), x["p"] - reach), 2 * reach).alias("stretch"), F.size(t).alias("size")))
-
-    some = docs.where(F.arrays_overlap(tokens, F.array(*map(F.lit, own))))
-    return some.select("doc_id", F.explode(_let(tokens, around)).alias("x")).select("doc_id", "x.*")
-
-
-def windows(docs: DataFrame, gated: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """window, doc_id, n (words of the items it is for), start, bag: distinct contents in each document."""
-    out, slack = None, (1 - similar) / (1 + similar)
-    reads = docs.select("doc_id", "text").where("text IS NOT NULL")
-    blocks = gated.select((F.dense_rank().over(_by_item()) / F.lit(ITEMS)).cast("int").alias("block"), "*")
-    for block in range((gated.select("item").distinct().count()) // ITEMS + 1):
-        gate = blocks.where(F.col("block") == block).drop("block").distinct()
-        rows = gate.collect()
-        if not rows:
-            continue
-        reach = max(r["n"] for r in rows) + int(max(r["n"] for r in rows) * slack) + SHINGLE
-        near = _stretches(reads, rows, reach).join(gate.select("n", "at", F.col("shingle").alias("s")), F.col("shingle") == F.col("s"))
-        room = F.floor(F.greatest(F.lit(1), F.col("n") - (SHINGLE - 1)) * F.lit(slack)).cast("int")
-        placed = near.select("doc_id", "n", "p", "at", "base", "size", "stretch", F.explode(F.sequence(-room, room)).alias("shift"))
-        start = F.col("p") - F.col("at") + F.col("shift")
-        placed = placed.select("doc_id", "n", F.greatest(F.lit(1), start).alias("start"), F.least(F.col("size"), start + F.col("n") - 1).alias("last"), "base", "stretch").where("last >= start")
-        made = placed.select("doc_id", "n", "start", F.slice("stretch", F.col("start") - F.col("base") + 1, F.col("last") - F.col("start") + 1).alias("w")).dropDuplicates(["doc_id", "n", "w"])
-        out = made if out is None else out.unionByName(made)
-    if out is None:
-        out = docs.sparkSession.createDataFrame([], "doc_id long, n int, start int, w array<string>")
-    made = staged(out.withColumn("window", F.monotonically_increasing_id()), "windows")
-    return made.select("window", "doc_id", "n", "start", shingles(F.col("w")).alias("bag"))
-
-
-def _by_item():
-    from pyspark.sql import Window
-
-    return Window.orderBy("item")
+    return picked.select("item", "n", "g.at", F.split("g.shingle", " ").alias("w")).select("item", "n", "at", F.size("w").alias("k"), "w").select("item", "n", "at", "k", _hash(F.col("w"), F.lit(1), SHINGLE).alias("h"))
+
+
+def _hash(w: Column, i: Column, k: int) -> Column:
+    """Of the k words from the i-th (from 1) on; a word beyond the end adds nothing."""
+    return F.xxhash64(*[F.get(w, i + (j - 1)) for j in range(k)])
+
+
+def placed(rows: DataFrame, gate: DataFrame, similar: float = SIMILAR, most: int = GATES) -> DataFrame:
+    """ROW, item, n, first (where a window begins, from 1; it may be before the text): all windows that a gate's shingle allows."""
+    lengths = [r["k"] for r in gate.select("k").distinct().collect()]  # 5 at most
+    few, slack = gate.count() <= most, (1 - similar) / (1 + similar)
+    found = None
+    for k in sorted(lengths):
+        hashes = _let(words(ascii_lower(F.col("text"))), lambda t: F.when(F.size(t) >= k, F.transform(F.sequence(F.lit(1), F.size(t) - (k - 1)), lambda i: _hash(t, i, k))))  # noqa: B023
+        own = gate.where(F.col("k") == k).select("item", "n", "at", "h")
+        met = rows.select(ROW, F.posexplode(hashes).alias("p", "h")).join(F.broadcast(own) if few else own, "h")
+        met = met.select(ROW, "item", "n", (F.col("p") + 1 - F.col("at")).alias("at"))
+        found = met if found is None else found.unionByName(met)
+    if found is None:
+        return rows.sparkSession.createDataFrame([], f"{ROW} long, item long, n int, first int")
+    room = F.floor(F.greatest(F.lit(1), F.col("n") - (SHINGLE - 1)) * F.lit(slack)).cast("int")
+    return found.distinct().select(ROW, "item", "n", F.explode(F.sequence(F.col("at") - room, F.col("at") + room)).alias("first")).distinct()
+
+
+def windows(rows: DataFrame, gate: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """window, ROW, item, n, start, bag: distinct contents in each row, each with its first place."""
+    places = staged(placed(rows, gate, similar).groupBy(ROW).agg(F.collect_list(F.struct("item", "n", "first")).alias("places")), "places")
+
+    def cut(t: Column) -> Column:
+        start, last = lambda x: F.greatest(F.lit(1), x["first"]), lambda x: F.least(F.size(t), x["first"] + x["n"] - 1)
+        inside = F.filter("places", lambda x: last(x) >= start(x))
+        return F.transform(inside, lambda x: F.struct(x["item"].alias("item"), x["n"].alias("n"), start(x).alias("start"), F.slice(t, start(x), last(x) - start(x) + 1).alias("w")))
+
+    each = rows.join(places, ROW).select(ROW, F.explode(_let(words(ascii_lower(F.col("text"))), cut)).alias("x")).select(ROW, "x.*")
+    made = each.groupBy(ROW, "item", "n", "w").agg(F.min("start").alias("start"))
+    made = staged(made.withColumn("window", F.monotonically_increasing_id()), "windows")
+    return made.select("window", ROW, "item", "n", "start", shingles(F.col("w")).alias("bag"))
 
 
 def simhash(bags: DataFrame, key: list[str]) -> DataFrame:
@@ -127,32 +121,43 @@ def _blocks(radius: int) -> Column:
     return F.explode(F.array(*[F.struct(F.lit(i).alias("b"), cut(a, b).alias("v")) for i, (a, b) in enumerate(zip(ends, ends[1:]))]))
 
 
-def candidates(of_windows: DataFrame, of_items: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """window, item: all pairs of one size whose fingerprints differ in radius bits or fewer."""
-    left = of_windows.select("window", "n", "fp", _blocks(radius).alias("k")).select("window", F.col("fp").alias("wfp"), F.struct("n", "k.b", "k.v").alias("key"))
-    right = of_items.select("item", "n", "fp", _blocks(radius).alias("k")).select("item", F.col("fp").alias("ifp"), F.struct("n", "k.b", "k.v").alias("key"))
+def candidates(of_windows: DataFrame, of_items: DataFrame, radius: int = RADIUS, on: str = "n") -> DataFrame:
+    """window, item: all pairs of rows of window, on, fp and item, on, fp that agree in on and whose fingerprints differ in radius bits or fewer."""
+    key = lambda df: df.select("*", _blocks(radius).alias("k")).withColumn("key", F.struct(F.col(on).alias("on"), "k.b", "k.v"))
+    left = key(of_windows).select("window", F.col("fp").alias("wfp"), "key")
+    right = key(of_items).select("item", F.col("fp").alias("ifp"), "key")
     return left.join(right, "key").where(F.bit_count(F.col("wfp").bitwiseXOR(F.col("ifp"))) <= radius).select("window", "item").distinct()
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR, radius: int = RADIUS) -> DataFrame:
-    """doc_id, item_id, similarity (the best window's), start (its first word, from 0)."""
+def contaminated_rows(rows: DataFrame, benchmark: DataFrame, similar: float = SIMILAR, radius: int = RADIUS) -> DataFrame:
+    """ROW, item_id, similarity (the best window's), start (its first word, from 0), for numbered rows of text."""
     items = staged(items_of(benchmark).withColumn("item", F.monotonically_increasing_id()), "bags")
-    made = staged(windows(docs, gates(items, similar), similar), "window-bags")
-    pairs = candidates(simhash(made, ["window", "n"]), simhash(items, ["item", "n"]), radius)
-    large = made.where(F.size("bag") > LANE).select("window", "n").join(items.where(F.size("bag") > LANE).select("item", "n"), "n").select("window", "item")
+    gate = staged(gates(items, similar), "gates")
+    made = staged(windows(rows.where("text IS NOT NULL").select(ROW, "text"), gate, similar), "window-bags")
+    pairs = candidates(simhash(made, ["window", "item"]), simhash(items, ["item"]), radius, "item")
+    large = made.where(F.size("bag") > LANE).select("window", "item")
     pairs = staged(pairs.unionByName(large), "candidates")
     bag = lambda df, key, n: df.select(key, F.size("bag").alias(n), F.explode("bag").alias("s")).groupBy(key, n, "s").agg(F.count("*").alias(f"c_{key}"))
     shared = pairs.join(bag(made, "window", "nw"), "window").join(bag(items, "item", "ni"), ["item", "s"])
     both = shared.groupBy("window", "item", "nw", "ni").agg(F.sum(F.least("c_window", "c_item")).alias("m"))
     verified = both.select("window", "item", (F.col("m") / (F.col("nw") + F.col("ni") - F.col("m"))).alias("similarity")).where(F.col("similarity") >= similar)
-    named = verified.join(made.select("window", "doc_id", "start"), "window").join(items.select("item", "item_id"), "item")
+    named = verified.join(made.select("window", ROW, "start"), "window").join(items.select("item", "item_id"), "item")
     best = F.max_by(F.struct("similarity", (F.col("start") - 1).alias("start")), F.struct("similarity", -F.col("start")))
-    return named.groupBy("doc_id", "item_id").agg(best.alias("best")).select("doc_id", "item_id", "best.similarity", "best.start")
+    return named.groupBy(ROW, "item_id").agg(best.alias("best")).select(ROW, "item_id", "best.similarity", "best.start")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR, radius: int = RADIUS) -> DataFrame:
+    """doc_id, item_id, similarity, start: a row for each document and item found in it."""
+    rows = numbered(docs.select("doc_id", "text"))
+    found = staged(contaminated_rows(rows, benchmark, similar, radius), "found")
+    return rows.select(ROW, "doc_id").join(found, ROW).select("doc_id", "item_id", "similarity", "start")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that hold an item; a null doc_id stays."""
-    return docs.join(contaminated(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """docs without the rows that hold an item."""
+    rows = numbered(docs)
+    found = staged(contaminated_rows(rows, benchmark).select(ROW).distinct(), "found")
+    return rows.join(found, ROW, "left_anti").select(*docs.columns)
 
 
 def query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
