@@ -449,3 +449,28 @@ def test_nearest_edges(spark):
     assert got == [(0, 1, 100), (0, 2, 1), (0, 3, 2), (100, 1, 0), (100, 2, 1), (100, 3, 2)]
     assert ann.nearest(few.limit(0)).count() == 0
     assert ann.nearest(few.where(F.col("vec_id") > 0).where("vec_id < 100")).count() == 0
+
+
+def test_nearest_of_repeated_ids(spark):
+    rows = [(0, [1.0, 0.0]), (5, [0.0, 3.0]), (5, [0.9, 0.1]), (5, [0.9, 0.1]), (7, [0.5, 0.5]), (0, [0.0, 2.0])]
+    got = ann.nearest(spark.createDataFrame([(*x, 1, "", 0.0) for x in rows], VECTORS), k=3).collect()
+    d = lambda a, b: math.dist(a, b)
+    want = []
+    for q in ([1.0, 0.0], [0.0, 2.0]):
+        distinct = sorted({(round(d(np.float32(q), np.float32(v)), 6), i) for i, v in rows if i != 0})[:3]
+        want += [(0, n, i, s) for n, (s, i) in enumerate(distinct, 1)]
+    assert sorted((x.query_id, x.rank, x.vec_id, round(x.score, 6)) for x in got) == sorted(want)
+
+
+def test_nearest_among_clusters(spark):
+    """Recall of the registered search on tight clusters, where most of a graph is out of reach of any one entry."""
+    r = np.random.default_rng(8)
+    centers = r.standard_normal((400, 24))
+    x = (centers[r.integers(0, 400, 8000)] + 0.05 * r.standard_normal((8000, 24))).astype(np.float32)
+    got = ann.nearest(spark.createDataFrame([(i, v.tolist(), 0, "", 0.0) for i, v in enumerate(x)], VECTORS), every=100).collect()
+    y, hit = x.astype(np.float64), 0
+    for q in range(0, 8000, 100):
+        dist = ((y - y[q]) ** 2).sum(1)
+        dist[q] = np.inf
+        hit += len({m.vec_id for m in got if m.query_id == q} & set(np.argsort(dist)[:10].tolist()))
+    assert hit >= 0.9 * 800

@@ -13,8 +13,9 @@ third of all rows share is one node. A node has WIDTH neighbours, is in at most
 its candidates are merged with map-side limits. Queries are QUERIES at a time; only their vectors are broadcast.
 
 Edge cases: vectors that are null, empty, zero, hold null or non-finite numbers, or have another length than most
-take no part, as queries or candidates; of rows that repeat a vec_id any one counts; with fewer candidates
-than asked for all are returned; an empty table gives an empty result; further columns are ignored.
+take no part, as queries or candidates; rows that repeat a vec_id are candidates of their own, and one query each
+with the results of each under one query_id, but no row of a query's own vec_id is its candidate; equal rows are one;
+with fewer candidates than asked for all are returned; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from usage_trace.llm.common import staged
 
 WIDTH, SAMPLE, ITERATIONS, LINES, STRETCH = 24, 12, 6, 2, 1024
-BEAM, STEP, ENTRIES, QUERIES, MOST_ROUNDS = 320, 128, 256, 4096, 60
+BEAM, STEP, ENTRIES, QUERIES, MOST_ROUNDS = 320, 128, 256, 4096, 400
 #: Candidates that a comparison passes on for each of its members.
 BEST = 4
 PAIR = "array<struct<d:float,u:long>>"
@@ -37,7 +38,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     """vec_id, embedding (doubles), of all vectors that take part."""
     e = F.transform("embedding", lambda x: x.cast("double"))
     good = F.size("e").__gt__(0) & F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("e", lambda x: x != 0)
-    rows = vectors.select(F.col("vec_id").cast("long"), e.alias("e")).where(F.col("vec_id").isNotNull() & F.col("e").isNotNull()).where(good).dropDuplicates(["vec_id"])
+    rows = vectors.select(F.col("vec_id").cast("long"), e.alias("e")).where(F.col("vec_id").isNotNull() & F.col("e").isNotNull()).where(good)
     rows = staged(rows.select("vec_id", F.col("e").alias("embedding")), "vectors")
     lengths = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     return rows.where(F.size("embedding") == (lengths[0]["n"] if lengths else 0))
@@ -169,14 +170,17 @@ def _measure(shared, length: int):
 
 
 def search(nodes: DataFrame, graph: DataFrame, queries: np.ndarray, k: int, beam: int = BEAM) -> DataFrame:
-    """q (row of queries), node, d: the k nearest nodes that greedy search from ENTRIES nodes meets."""
+    """q (row of queries), node, d: the k nearest nodes that greedy search from ENTRIES nodes meets.
+
+    It goes on until each query's beam is expanded; a round takes STEP of a beam, so MOST_ROUNDS are far more than any needs.
+    """
     length = queries.shape[1]
     shared = nodes.sparkSession.sparkContext.broadcast(queries)
     measured = lambda pairs, name: staged(pairs.mapInArrow(_measure(shared, length), "q int, node long, d double"), name)
-    entries = nodes.orderBy(F.xxhash64("vec_id"), "vec_id").limit(ENTRIES)
+    entries = nodes.orderBy("h1", "h2").limit(ENTRIES)
     new = measured(entries.select("vec_id", "embedding", F.sequence(F.lit(0), F.lit(len(queries) - 1)).alias("qs")), "met")
     met, pool = new, new.withColumn("expanded", F.lit(False))
-    for _ in range(MOST_ROUNDS):
+    for round_ in range(MOST_ROUNDS):
         pool = staged(_ranked(pool, ["q"], ["d", "node"], beam), "pool")
         front = _ranked(pool.where(~F.col("expanded")), ["q"], ["d", "node"], STEP).select("q", "node", F.lit(True).alias("now"))
         reached = front.join(graph, front["node"] == graph["v"]).select("q", F.explode("links").alias("node")).distinct()
@@ -186,6 +190,8 @@ def search(nodes: DataFrame, graph: DataFrame, queries: np.ndarray, k: int, beam
         pool = pool.join(front, ["q", "node"], "left").select("q", "node", "d", (F.col("expanded") | F.coalesce("now", F.lit(False))).alias("expanded"))
         if pool.where(~F.col("expanded")).isEmpty() and new.isEmpty():
             break
+        if round_ == MOST_ROUNDS - 1:
+            raise RuntimeError(f"a search wasn't done after {MOST_ROUNDS} rounds")
         pool = pool.unionByName(new.withColumn("expanded", F.lit(False)))
     return _ranked(pool.select("q", "node", "d"), ["q"], ["d", "node"], k)
 
@@ -194,29 +200,33 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score: for queries whose vec_id is a multiple of every, the k nearest other rows found."""
     spark = vectors.sparkSession
     out = "query_id long, rank int, vec_id long, score double"
-    rows = usable(vectors)
-    members = staged(_ranked(rows.select("vec_id", F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding").alias("h2")), ["h1", "h2"], ["vec_id"], k + 1), "members")
-    nodes = members.groupBy("h1", "h2").agg(F.min("vec_id").alias("node"))
-    members = members.join(nodes, ["h1", "h2"]).select("node", "vec_id")
-    nodes = staged(rows.join(nodes.select(F.col("node").alias("vec_id")), "vec_id", "left_semi"), "nodes")
-    asked = rows.where(F.col("vec_id") % every == 0)
+    keys = F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding").alias("h2")
+    rows = usable(vectors).select("vec_id", *keys, "embedding")
+    nodes = rows.groupBy("h1", "h2").agg(F.any_value("embedding").alias("embedding")).sortWithinPartitions("h1", "h2")
+    nodes = staged(nodes.select(F.monotonically_increasing_id().alias("vec_id"), "h1", "h2", "embedding"), "nodes")
+    members = _ranked(rows.select("vec_id", "h1", "h2").distinct(), ["h1", "h2"], ["vec_id"], k + 1)
+    members = staged(members.join(nodes.select("h1", "h2", F.col("vec_id").alias("node")), ["h1", "h2"]).select("node", "vec_id"), "members")
+    place = F.struct("vec_id", "h1", "h2")
+    asked = staged(rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "h1", "h2"]).withColumn("place", place), "asked")
     if asked.isEmpty():
         return spark.createDataFrame([], out)
     graph = neighbour_graph(nodes)
     linked = _sampled(graph, -1, WIDTH).groupBy("center").agg(F.collect_set("u").alias("links"))
     linked = staged(linked.select(F.col("center").alias("v"), "links"), "links")
-    found, last = None, None
+    own = asked.groupBy("vec_id").count().agg(F.max("count")).first()[0]  # rows of one id, which are nearest to each other and don't count
+    found, last, number = None, None, 0
     while True:
-        block = (asked if last is None else asked.where(F.col("vec_id") > last)).orderBy("vec_id").limit(QUERIES).collect()
+        after = asked if last is None else asked.where(F.col("place") > F.struct(*[F.lit(last[c]).cast("long").alias(c) for c in ("vec_id", "h1", "h2")]))
+        block = after.orderBy("place").limit(QUERIES).collect()
         if not block:
             break
-        last = block[-1]["vec_id"]
-        ids = [r["vec_id"] for r in block]
-        near = search(nodes, linked, np.array([r["embedding"] for r in block]), k + 1)
-        named = near.withColumn("query_id", F.element_at(F.array(*map(F.lit, ids)), F.col("q") + 1).cast("long"))
-        found = named if found is None else found.unionByName(named)
+        last = block[-1]["place"]
+        ids = spark.createDataFrame([(i, number + i, r["vec_id"]) for i, r in enumerate(block)], "q int, number long, query_id long")
+        near = search(nodes, linked, np.array([r["embedding"] for r in block]), k + own, BEAM + own - 1).join(F.broadcast(ids), "q")  # of QUERIES rows at most
+        number += len(block)
+        found = near if found is None else found.unionByName(near)
     rows = found.join(members, "node").where("vec_id <> query_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("d", "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("number").orderBy("d", "vec_id"))
     return rows.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", F.col("d").alias("score"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,19 +58,47 @@ def _sweep() -> None:
             pass
 
 
+_blocks: list[list[tuple[SparkSession, str]]] = []
+
+
+@contextmanager
+def scratch():
+    """Tables staged within are deleted when the block ends, but those that are to outlive it.
+
+    Nothing that is read later may be computed from the others.
+    """
+    _blocks.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _blocks.pop():
+            delete(spark, path)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing reads any more."""
+    for df in tables:
+        delete(df.sparkSession, df._ut_path)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df, written once to the shared folder and read from there.
+def staged(df: DataFrame, name: str, outlives: bool = False) -> DataFrame:
+    """df, written once to the shared folder and read from there; outlives: the innermost scratch block that it is in.
 
     This cuts the lineage: later jobs don't repeat the work, and a lost executor takes nothing with it.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    within = _blocks[:-1] if outlives else _blocks
+    if within:
+        within[-1].append((spark, path))
+    made = spark.read.schema(df.schema).parquet(path)
+    made._ut_path = path
+    return made
 
 
 def numbered(docs: DataFrame, name: str = "rows") -> DataFrame:

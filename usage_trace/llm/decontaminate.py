@@ -31,7 +31,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from usage_trace.llm.common import ROW, ascii_lower, numbered, staged, words
+from usage_trace.llm.common import ROW, ascii_lower, numbered, scratch, staged, words
 
 SHINGLE, SIMILAR, RADIUS = 5, 0.8, 22
 #: Gates whose hashes are broadcast.
@@ -149,14 +149,16 @@ def contaminated_rows(rows: DataFrame, benchmark: DataFrame, similar: float = SI
 def contaminated(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR, radius: int = RADIUS) -> DataFrame:
     """doc_id, item_id, similarity, start: a row for each document and item found in it."""
     rows = numbered(docs.select("doc_id", "text"))
-    found = staged(contaminated_rows(rows, benchmark, similar, radius), "found")
+    with scratch():
+        found = staged(contaminated_rows(rows, benchmark, similar, radius), "found", outlives=True)
     return rows.select(ROW, "doc_id").join(found, ROW).select("doc_id", "item_id", "similarity", "start")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows that hold an item."""
     rows = numbered(docs)
-    found = staged(contaminated_rows(rows, benchmark).select(ROW).distinct(), "found")
+    with scratch():
+        found = staged(contaminated_rows(rows, benchmark).select(ROW).distinct(), "found", outlives=True)
     return rows.join(found, ROW, "left_anti").select(*docs.columns)
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from usage_trace.llm.common import crc_mod, staged
+from usage_trace.llm.common import crc_mod, drop, staged
 
 WORDS, CLASSES, HEAD, LONGEST = 1024, 512, 1 << 17, 64
 WIDTH, BATCH, NOISE = 32, 512, 64
@@ -287,7 +287,9 @@ def fit(docs: DataFrame) -> tuple[DataFrame, Vocabulary, Parameters]:
     shared = sc.broadcast(vocabulary)
     windows = staged(learned.mapInArrow(_windows(shared), "ids binary"), "windows")
     shared.unpersist()
-    return counts, vocabulary, train(windows, vocabulary)
+    parameters = train(windows, vocabulary)
+    drop(windows)
+    return counts, vocabulary, parameters
 
 
 def score(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, parameters: Parameters) -> DataFrame:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from usage_trace.llm.common import ROW, numbered, rank, staged
+from usage_trace.llm.common import ROW, drop, numbered, rank, scratch, staged
 
 SHINGLE = 3
 BUDGET = 2
@@ -199,7 +199,8 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
         large = staged(large, "large")
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         tied = large.join(small, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        edges = staged(tied.unionByName(small.select("a", F.col("m").alias("b"))).distinct(), "small")
+        before, edges = edges, staged(tied.unionByName(small.select("a", F.col("m").alias("b"))).distinct(), "small")
+        drop(before, large)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == last:
             break
@@ -213,13 +214,14 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
 def near_duplicates(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     """doc_id, ROW, fp, and least: the rank (see common.rank) of the first row that links of at most budget differing bits lead to."""
     made = staged(fingerprints(docs), "fingerprints")
-    leaves = staged(made.groupBy("fp").agg(F.min(rank()).alias("least")), "leaves")
-    met = blocks(leaves.select("fp"), leaves.count(), budget)
-    roots = staged(components(met.groupBy("depth", "node").applyInPandas(_forest(budget), "a long, b long")), "roots")
-    tied = roots.join(leaves, roots["node"] == leaves["fp"])
-    of_root = tied.groupBy("root").agg(F.min("least").alias("component"))
-    named = leaves.join(roots.join(of_root, "root").select(F.col("node").alias("fp"), "component"), "fp", "left")
-    return made.join(named.select("fp", F.coalesce("component", "least").alias("least")), "fp").select("doc_id", ROW, "fp", "least")
+    with scratch():
+        leaves = staged(made.groupBy("fp").agg(F.min(rank()).alias("least")), "leaves")
+        met = blocks(leaves.select("fp"), leaves.count(), budget)
+        roots = staged(components(met.groupBy("depth", "node").applyInPandas(_forest(budget), "a long, b long")), "roots")
+        of_root = roots.join(leaves, roots["node"] == leaves["fp"]).groupBy("root").agg(F.min("least").alias("component"))
+        named = leaves.join(roots.join(of_root, "root").select(F.col("node").alias("fp"), "component"), "fp", "left")
+        named = staged(named.select("fp", F.coalesce("component", "least").alias("least")), "named", outlives=True)
+    return made.join(named, "fp").select("doc_id", ROW, "fp", "least")
 
 
 def keep_one(docs: DataFrame, budget: int = BUDGET) -> DataFrame:

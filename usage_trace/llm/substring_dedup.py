@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructType
 
-from usage_trace.llm.common import ROW, numbered, rank, staged
+from usage_trace.llm.common import ROW, numbered, rank, scratch, staged
 
 RUN, WORDS, LONG = 2, 20, 50
 #: Up to a stop before white space or a wide stop, or to the line's end.
@@ -125,10 +125,12 @@ def remove_repeats(docs: DataFrame, run: int = RUN, least: int = WORDS) -> DataF
     """docs with their texts cut, and __ut_sentences and __ut_removed: how many there were, and how many went."""
     rows = numbered(docs)
     made = rows.where("text IS NOT NULL").select(ROW, F.col("doc_id").cast("long"), "text").mapInArrow(_hashes(run, least), f"h1 long, h2 int, {ROW} long, doc_id long, at int")
-    made = staged(made, "spans")
-    shared = made.groupBy("h1", "h2").agg(F.min(rank()).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", F.col("first.row").alias("first"))
-    shared = staged(shared, "shared")  # its size is known then; where few spans repeat, it is broadcast
-    repeated = made.select("h1", "h2", ROW, "at").join(shared, ["h1", "h2"]).where(F.col(ROW) != F.col("first")).groupBy(ROW).agg(F.collect_set("at").alias("__ut_repeated"))
+    with scratch():
+        made = staged(made, "spans")
+        shared = made.groupBy("h1", "h2").agg(F.min(rank()).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", F.col("first.row").alias("first"))
+        shared = staged(shared, "shared")  # its size is known then; where few spans repeat, it is broadcast
+        repeated = made.select("h1", "h2", ROW, "at").join(shared, ["h1", "h2"]).where(F.col(ROW) != F.col("first")).groupBy(ROW).agg(F.collect_set("at").alias("__ut_repeated"))
+        repeated = staged(repeated, "repeated", outlives=True)
     joined = rows.join(repeated, ROW, "left").select(*docs.columns, "__ut_repeated")
     schema = StructType(list(docs.schema.fields)).add("__ut_sentences", IntegerType()).add("__ut_removed", IntegerType())
     return joined.mapInArrow(_cuts(run, least), schema)
