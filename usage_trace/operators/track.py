@@ -1,17 +1,57 @@
-"""From names to their uses: joins of tasks (a name, where it was defined, where to look) with tokens or lines."""
+"""From names to their uses: joins of tasks (a name, where it was defined, where to look) with the words of lines.
+
+Tasks of all languages are one relation, each with the number of its Rule, and the words of a tree are read once for the tasks
+of one kind (by case, by file, by sort of word). While tasks are FEW or fewer they are broadcast, and a line's text goes with its
+words through that join, so no line is shuffled; beyond that, words are dealt by key without the text, which is joined back to
+what is left.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from usage_trace.functions.classify import usage_by
 from usage_trace.functions.text import strip, suffix
-from usage_trace.operators.tokens import shell_variables, tokens
+from usage_trace.operators.tokens import line_words, tokens
 from usage_trace.schema import INDIRECT, RECORD_COLUMNS
 
 #: Columns of tasks: name as declared, keyword and origin (src_file, src_lineno), the definition's resolved file and line.
 TASK = ["name", "keyword", "src_file", "src_lineno", "def_file", "def_lineno"]
+#: Those of tasks with a place: the only file looked at (null: all), its lines (null: all), the kind of use, the number of a rule.
+PLACED = [*TASK, "in_file", "from_line", "to_line", "ref_type", "rule"]
+#: Tasks (rows) that are broadcast.
+FEW = 200_000
+
+
+@dataclass(frozen=True)
+class Rule:
+    """How uses of a name are looked for, and by the rules of which language they are labelled."""
+
+    probe: tuple[str, ...]  # suffixes of the files looked at; none: all files
+    by: Column | str  # a language, or one by file
+    langs: tuple[str, ...] = ()  # those that by may be, if it is a column
+    file: bool = False  # in the task's in_file alone, a row per line
+    ignore_case: bool = False
+    sigil: bool = False  # the name must follow "$"
+    variable: bool = False  # shell: $NAME, ${NAME
+    paren: bool | None = None  # must, or must not, be followed by "("
+
+    @property
+    def kind(self) -> tuple[bool, bool, bool]:
+        return self.file, self.ignore_case, self.variable
+
+
+def placed(tasks: DataFrame, rule: int, ref_type: Column | str = INDIRECT, in_file: Column | None = None, lines: tuple[str, str] | None = None) -> DataFrame:
+    """PLACED of TASK rows; lines: columns with the first and last line of their range."""
+    no = F.lit(None)
+    ends = [F.col(c) for c in lines] if lines else [no, no]
+    kind = F.lit(ref_type) if isinstance(ref_type, str) else ref_type
+    more = [(no if in_file is None else in_file).cast("string"), ends[0].cast("int"), ends[1].cast("int"), kind, F.lit(rule)]
+    return tasks.select(*TASK, *[c.alias(n) for c, n in zip(more, PLACED[len(TASK) :])])
 
 
 def record(ref_type: Column | str, lang: Column, langs: list[str], file: str = "filepath") -> list[Column]:
@@ -36,37 +76,55 @@ def not_definition() -> Column:
     return ~F.coalesce((F.col("filepath") == F.col("def_file")) & (F.col("lineno") == F.col("def_lineno")), F.lit(False))
 
 
-def matched(tasks: DataFrame, lines: DataFrame, ignore_case: bool = False, sigil: bool = False, per_line: bool = False, where: Column | None = None) -> DataFrame:
-    """Columns of tasks with filepath, lineno, line: a row per occurrence of a name and task (or per line).
+def _by_rule(rules: dict[int, Rule], value) -> Column:
+    """value(rule) for each row's rule; a plain value if all agree."""
+    values = {i: value(r) for i, r in rules.items()}
+    columns = [v if isinstance(v, Column) else F.lit(v) for v in values.values()]
+    chain = F
+    for i, c in zip(values, columns):
+        chain = chain.when(F.col("rule") == i, c)
+    return chain
 
-    Tokens go through the join without their lines' text, which comes back for the lines that are left.
-    """
-    key = F.lower if ignore_case else lambda c: c
-    toks = tokens(lines).select("filepath", "lineno", key(F.col("tok")).alias("__ut_key"), "sigil", "paren")
-    if sigil:
-        toks = toks.where("sigil")
-    own = tasks.withColumn("__ut_key", key(F.col("name")))
-    hits = toks.join(own, "__ut_key").where(not_definition())
-    if where is not None:
-        hits = hits.where(where)
-    hits = hits.drop("__ut_key", "sigil") if per_line is False else hits.drop("__ut_key", "sigil", "paren").dropDuplicates([*tasks.columns, "filepath", "lineno"])
-    return hits.join(lines.select("filepath", "lineno", "line"), ["filepath", "lineno"])
 
-
-def track_project(tasks: DataFrame, lines: DataFrame, lang: Column | str, langs: list[str], per_line: bool = False, ref_type: Column | str = INDIRECT, **how) -> DataFrame:
-    """Uses of names in all of lines; lang: whose rules label a use, by literal or by suffix."""
-    by = F.lit(lang) if isinstance(lang, str) else lang
-    return matched(tasks, lines, per_line=per_line, **how).select(*record(ref_type, by, langs))
-
-
-def track_file(tasks: DataFrame, lines: DataFrame, lang: str, ignore_case: bool = False, variable: bool = False) -> DataFrame:
-    """Uses of names in the file that defines them: a row per line and task, without the line of the definition."""
+def _met(tasks: DataFrame, rules: dict[int, Rule], lines: DataFrame, per_line: bool, few: bool) -> DataFrame:
+    """Columns of tasks with filepath, lineno, line, for rules of one kind."""
+    file, ignore_case, variable = next(iter(rules.values())).kind
+    probes = [r.probe for r in rules.values()]
+    probed = by_suffix(lines, tuple(sorted({e for p in probes for e in p})) if all(probes) else ())
+    side = F.broadcast if few else lambda df: df
     key = F.lower if ignore_case else lambda c: c
-    own = tasks.where("def_file IS NOT NULL").withColumn("__ut_key", key(F.col("name")))
-    inside = lines.join(own.select(F.col("def_file").alias("filepath")).distinct(), "filepath", "left_semi")
-    toks = (shell_variables(inside) if variable else tokens(inside)).select("filepath", "lineno", key(F.col("tok")).alias("__ut_key")).distinct()
-    hits = toks.join(own, (toks["__ut_key"] == own["__ut_key"]) & (toks["filepath"] == own["def_file"])).drop("__ut_key").where(not_definition())
-    return hits.join(inside.select("filepath", "lineno", "line"), ["filepath", "lineno"]).select(*record(INDIRECT, F.lit(lang), [lang]))
+    own = tasks.where(F.col("rule").isin(*rules)).withColumn("__ut_key", key(F.col("name")))
+    keep = ["line"] if few else None
+    if file:
+        probed = probed.join(side(own.select(F.col("in_file").alias("filepath")).distinct()), "filepath", "left_semi")
+        words = line_words(probed, ignore_case, variable, keep).withColumnRenamed("tok", "__ut_key")
+        hits = words.join(side(own), (words["__ut_key"] == own["__ut_key"]) & (words["filepath"] == own["in_file"])).drop("__ut_key")
+        inside = F.coalesce(F.col("lineno") >= F.col("from_line"), F.lit(True)) & F.coalesce(F.col("lineno") <= F.col("to_line"), F.lit(True))
+        hits = hits.where(not_definition() & inside)
+    else:
+        words = tokens(probed, keep).withColumn("__ut_key", key(F.col("tok"))).drop("tok", "pos")
+        hits = words.join(side(own), "__ut_key").where(not_definition())
+        wanted = lambda r: reduce(Column.__and__, [F.lit(True), *([suffix(F.col("filepath")).isin(*r.probe)] if r.probe and len(rules) > 1 else []), *([F.col("sigil")] if r.sigil else []), *([F.col("paren") == r.paren] if r.paren is not None else [])])
+        hits = hits.where(_by_rule(rules, wanted)).drop("__ut_key", "sigil", "paren")
+        if per_line:
+            hits = hits.dropDuplicates([*PLACED, "filepath", "lineno"])
+    if not few:
+        hits = hits.join(probed.select("filepath", "lineno", "line"), ["filepath", "lineno"])
+    return hits.select(*PLACED, "filepath", "lineno", "line")
+
+
+def uses(tasks: DataFrame, rules: list[Rule], lines: DataFrame, per_line: bool = False, most: int = FEW) -> DataFrame:
+    """Records of the uses of placed tasks: a row per occurrence (or per line), or per line and task where a rule is for one file.
+
+    tasks are counted, and read once for each kind of rule, so they are best kept.
+    """
+    few = tasks.count() <= most
+    found = []
+    for kind in sorted({r.kind for r in rules}):
+        found.append(_met(tasks, {i: r for i, r in enumerate(rules) if r.kind == kind}, lines, per_line, few))
+    langs = sorted({x for r in rules for x in (r.langs or (r.by,))})
+    by = _by_rule(dict(enumerate(rules)), lambda r: r.by)
+    return reduce(DataFrame.unionByName, found).select(*record(F.col("ref_type"), by, langs))
 
 
 def by_suffix(lines: DataFrame, extensions: tuple[str, ...]) -> DataFrame:

@@ -1,7 +1,8 @@
 """What the engine knows of each language, as data.
 
 A Seed says which direct uses start a trace (by label and extractor) and where their names are looked for. A new
-language is one more LanguageSpec passed to trace(..., specs=...) and its rules in functions.classify.RULES.
+language is one more LanguageSpec passed to trace(..., specs=...), with its rules and, where seeds aren't enough, a
+function that makes its tasks.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from usage_trace.functions import extract as x
@@ -38,12 +39,15 @@ class LanguageSpec:
     extensions: tuple[str, ...]
     shebangs: tuple[str, ...] = ()
     seeds: tuple[Seed, ...] = field(default=())
+    rules: tuple[tuple[str, str], ...] = ()  # (pattern, label) by priority, for a language that classify.RULES hasn't
+    seek: Callable[[DataFrame, DataFrame], DataFrame] | None = None  # (direct uses, lines) to tasks of its own, as columns of track.TASK
 
 
 def _c_or_proc(suffix: Column) -> Column:
     return F.when(suffix.isin(".c", ".h"), F.lit("c")).otherwise(F.lit("proc"))
 
 
+# Suffixes, interpreters and labels of the languages.
 _KT, _TS, _PL, _NET, _GR = (".kt", ".kts"), (".ts", ".tsx", ".js", ".jsx"), (".pl", ".pm"), (".cs", ".vb"), (".groovy", ".gvy")
 _PLSQL = (".pls", ".pck", ".prc", ".pkb", ".pks", ".fnc", ".trg")
 _C = (".c", ".h", ".pc")

@@ -14,11 +14,11 @@ from usage_trace.functions.text import suffix
 from usage_trace.operators.accessors import accessor_tasks, line_accessors
 from usage_trace.operators.aliases import alias_edges, closure
 from usage_trace.operators.scopes import enclosing, method_ranges
-from usage_trace.operators.track import TASK, by_suffix, matched, record, track_file, track_project
+from usage_trace.operators.track import TASK, Rule, by_suffix, placed, uses
 from usage_trace.plans.languages import SPECS, LanguageSpec, Seed
 from usage_trace.plans.languages import by_shebang as shebangs
 from usage_trace.plans.languages import by_suffix as suffixes
-from usage_trace.schema import DIRECT, GETTER, INDIRECT, RECORD_COLUMNS, SETTER
+from usage_trace.schema import DIRECT, GETTER, SETTER
 from usage_trace.sources.files import resolve
 from usage_trace.sources.hits import parse_hits
 
@@ -82,105 +82,119 @@ def with_aliases(own: DataFrame, lines: DataFrame) -> DataFrame:
     return own.unionByName(more)
 
 
-def _seed_uses(rows: DataFrame, lines: DataFrame, spec: LanguageSpec, seed: Seed, per_line: bool) -> DataFrame:
-    own = tasks(rows, seed, spec.name)
+def _seed_tasks(rows: DataFrame, lines: DataFrame, spec: LanguageSpec, seed: Seed, rules: list[Rule]) -> DataFrame:
+    """Placed tasks of one seed; its rule is added to rules."""
+    own, n = tasks(rows, seed, spec.name), len(rules)
     if seed.scope == "file":
-        return track_file(own, lines, spec.name, seed.ignore_case, seed.variable)
-    probed = by_suffix(lines, seed.probe)
+        rules.append(Rule((*spec.extensions, ""), spec.name, file=True, ignore_case=seed.ignore_case, variable=seed.variable))
+        return placed(own.where("def_file IS NOT NULL"), n, in_file=F.col("def_file"))
     if seed.aliases:
-        own = with_aliases(own, probed)
+        own = with_aliases(own, by_suffix(lines, seed.probe))
     by = seed.rules(suffix(F.col("filepath"))) if seed.rules else spec.name
-    return track_project(own, probed, by, ["c", "proc"] if seed.rules else [spec.name], per_line, ignore_case=seed.ignore_case, sigil=seed.sigil)
+    rules.append(Rule(seed.probe, by, ("c", "proc") if seed.rules else (), ignore_case=seed.ignore_case, sigil=seed.sigil))
+    return placed(own, n)
 
 
-def groovy_accessors(rows: DataFrame, lines: DataFrame) -> DataFrame:
+def _groovy_tasks(rows: DataFrame, lines: DataFrame, rules: list[Rule]) -> DataFrame:
     """Calls of the getters and setters of Groovy fields; a name that is both gives both kinds of rows."""
-    probed = by_suffix(lines, (".groovy", ".gvy"))
     seed = next(s for spec in SPECS if spec.name == "groovy" for s in spec.seeds if s.kind == "field")
     fields = tasks(rows, seed, "groovy").where("def_file IS NOT NULL")
-    calls = accessor_tasks(fields, line_accessors(probed)).withColumn("def_file", F.lit(None).cast("string"))
-    return matched(calls, probed, where=F.col("paren")).select(*record(F.col("ref_type"), F.lit("groovy"), ["groovy"]))
+    calls = accessor_tasks(fields, line_accessors(by_suffix(lines, (".groovy", ".gvy")))).withColumn("def_file", F.lit(None).cast("string"))
+    rules.append(Rule((".groovy", ".gvy"), "groovy", paren=True))
+    return placed(calls, len(rules) - 1, F.col("ref_type"))
+
 
+def groovy_accessors(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    rules: list[Rule] = []
+    return uses(_groovy_tasks(rows, lines, rules), rules, lines)
 
-def java_uses(rows: DataFrame, lines: DataFrame, structure: DataFrame | None) -> DataFrame:
-    """Uses of Java constants everywhere, of fields in their file, of locals in their method, and calls of accessors.
 
-    A constant's name followed by "(" isn't a use of it. A method name that is a getter and a setter counts as a getter.
+def _java_tasks(rows: DataFrame, lines: DataFrame, structure: DataFrame | None, rules: list[Rule], combined: bool = True) -> DataFrame:
+    """Constants (looked for everywhere), fields (in their file), locals (in their method), and calls of accessors of Java.
+
+    A constant's name followed by "(" isn't a use of it, unless constants are scanned for apart (combined is false).
+    A method name that is a getter and a setter counts as a getter.
     """
-    probed = by_suffix(lines, (".java",))
+    java, n = (".java",), len(rules)
+    probed = by_suffix(lines, java)
     own = rows.where((F.col("lang") == "java") & F.col("usage_type").isin("定数定義", "変数代入")).withColumn("name", x.java_name(F.col("code"))).where("name IS NOT NULL")
     below = F.when(F.startswith("filepath", F.lit("/")) | (F.regexp_replace("filepath", r"^(\./)+", "") == F.col("resolved")), F.col("resolved"))
     scope = F.when(F.col("usage_type") == "定数定義", F.lit("project")).otherwise(F.coalesce("scope", F.when(x.java_is_field(F.col("code")), F.lit("class")).otherwise(F.lit("method"))))
     all_ = own.select("name", "keyword", F.col("filepath").alias("src_file"), F.col("lineno").alias("src_lineno"), below.alias("def_file"), F.expr("try_cast(lineno AS int)").alias("def_lineno"), scope.alias("where"))
     # a definition is skipped where its path is written the way it was in the hit
     as_written = F.when(F.col("src_file") == F.col("def_file"), F.col("def_file"))
-    const = all_.where("where = 'project'").withColumn("def_file", as_written).drop("where")
-    uses = [matched(const, probed, where=~F.col("paren")).select(*record(INDIRECT, F.lit("java"), ["java"]))]
+    rules += [Rule(java, "java", paren=False if combined else None), Rule(java, "java", file=True), Rule(java, "java", paren=True)]
+    found = [placed(all_.where("where = 'project'").withColumn("def_file", as_written), n)]
     fields = all_.where("where = 'class' AND def_file IS NOT NULL").drop("where")
-    written = F.col("src_file") == F.col("def_file")
-    uses.append(_java_in_file(fields, probed, written))
+    in_file = lambda own, span=None: placed(own.withColumn("in_file", F.col("def_file")).withColumn("def_file", as_written), n + 1, in_file=F.col("in_file"), lines=span)
+    found.append(in_file(fields))
     if structure is not None:
         members = structure.select("filepath", F.explode("returns").alias("m"), F.lit(GETTER).alias("ref_type")).unionByName(structure.select("filepath", F.explode("assigns").alias("m"), F.lit(SETTER).alias("ref_type"))).select("filepath", "m.method", "m.member", "ref_type")
         starts = structure.select("filepath", F.explode("starts").alias("start_line"))
         local = enclosing(all_.where("where = 'method' AND def_file IS NOT NULL").drop("where"), starts)
         ranges = method_ranges(local.select(F.col("def_file").alias("filepath"), "start_line").distinct(), probed)
-        local = local.join(ranges.withColumnRenamed("filepath", "def_file"), ["def_file", "start_line"])
-        uses.append(_java_in_file(local, probed, written, (F.col("lineno") >= F.col("start_line")) & (F.col("lineno") <= F.col("end_line"))))
+        found.append(in_file(local.join(ranges.withColumnRenamed("filepath", "def_file"), ["def_file", "start_line"]), ("start_line", "end_line")))
     else:
         members = fields.sparkSession.createDataFrame([], "filepath string, method string, member string, ref_type string")
     calls = accessor_tasks(fields, members).withColumn("def_file", F.lit(None).cast("string"))
     getters = calls.where(F.col("ref_type") == GETTER).select("name").distinct()
     calls = calls.where(F.col("ref_type") == GETTER).unionByName(calls.where(F.col("ref_type") == SETTER).join(getters, "name", "left_anti").select(*calls.columns))
-    uses.append(matched(calls, probed, where=F.col("paren")).select(*record(F.col("ref_type"), F.lit("java"), ["java"])))
-    return reduce(DataFrame.unionByName, uses)
-
+    found.append(placed(calls, n + 2, F.col("ref_type")))
+    return reduce(DataFrame.unionByName, found)
 
-def _java_in_file(own: DataFrame, lines: DataFrame, written: Column, within: Column | None = None) -> DataFrame:
-    """A row per line and task, in the task's file (and range of lines); its definition is left out where the path is as written."""
-    from usage_trace.operators.tokens import tokens
 
-    inside = lines.join(own.select(F.col("def_file").alias("filepath")).distinct(), "filepath", "left_semi")
-    toks = tokens(inside).select("filepath", "lineno", "tok").distinct()
-    hits = toks.join(own, (toks["tok"] == own["name"]) & (toks["filepath"] == own["def_file"]))
-    hits = hits.where(~(written & (F.col("lineno") == F.col("def_lineno"))))
-    if within is not None:
-        hits = hits.where(within)
-    return hits.join(inside.select("filepath", "lineno", "line"), ["filepath", "lineno"]).select(*record(INDIRECT, F.lit("java"), ["java"]))
+def indirect(rows: DataFrame, lines: DataFrame, structure: DataFrame | None = None, specs: tuple[LanguageSpec, ...] = SPECS, per_line: bool = False, combined: bool = True, kept: list[DataFrame] | None = None) -> DataFrame:
+    """Records of uses through names. Languages without a seed among rows are left out of the plan.
 
-
-def indirect(rows: DataFrame, lines: DataFrame, structure: DataFrame | None = None, specs: tuple[LanguageSpec, ...] = SPECS, per_line: bool = False) -> DataFrame:
-    """Records of uses through names. Languages without a seed among rows are left out of the plan."""
+    kept: gets what was persisted on the way.
+    """
     present = {(r["lang"], r["usage_type"]) for r in rows.select("lang", "usage_type").distinct().collect()}  # a few labels
-    uses = []
+    rules: list[Rule] = []
+    found = []
     for spec in specs:
         for seed in spec.seeds:
             if any((spec.name, label) in present for label in seed.labels):
-                uses.append(_seed_uses(rows, lines, spec, seed, per_line))
+                found.append(_seed_tasks(rows, lines, spec, seed, rules))
         if spec.name == "groovy" and ("groovy", "変数代入") in present:
-            uses.append(groovy_accessors(rows, lines))
+            found.append(_groovy_tasks(rows, lines, rules))
         if spec.name == "java" and {("java", "定数定義"), ("java", "変数代入")} & present:
-            uses.append(java_uses(rows, lines, structure))
-    if not uses:
+            found.append(_java_tasks(rows, lines, structure, rules, combined))
+        if spec.seek and any(lang == spec.name for lang, _ in present):
+            rules.append(Rule(spec.extensions, spec.name))
+            found.append(placed(spec.seek(rows.where(F.col("lang") == spec.name), lines), len(rules) - 1))
+    if not found:
         return direct_records(rows).limit(0)
-    return reduce(DataFrame.unionByName, uses).select(*RECORD_COLUMNS)
+    own = reduce(DataFrame.unionByName, found).persist(StorageLevel.MEMORY_AND_DISK)
+    if kept is not None:
+        kept.append(own)
+    return uses(own, rules, lines, per_line)
 
 
-def trace(hits: DataFrame, lines: DataFrame, roots: tuple[str, ...] = (), structure: DataFrame | None = None, specs: tuple[LanguageSpec, ...] = SPECS, only: str | None = None, per_line: bool = False) -> DataFrame:
+def trace(hits: DataFrame, lines: DataFrame, roots: tuple[str, ...] = (), structure: DataFrame | None = None, specs: tuple[LanguageSpec, ...] = SPECS, only: str | None = None, per_line: bool = False, combined: bool = True) -> DataFrame:
     """All records, direct and indirect, unsorted: a bag, as a line is reported once for each name and origin.
 
     hits: keyword, value (see sources.hits); lines: filepath, lineno, line (see sources.files).
     structure: operators.java_structure.structures of the Java files; without it Java is labelled by regular expressions,
-    and locals aren't followed.
+    and locals aren't followed. combined: names of all kinds are one scan, in which a constant followed by "(" is no use of it.
     """
     rows = direct(parse_hits(hits), lines, roots, specs, only, structure).persist(StorageLevel.MEMORY_AND_DISK)
-    return direct_records(rows).unionByName(indirect(rows, lines, structure, specs, per_line))
+    kept = [rows]
+    records = direct_records(rows).unionByName(indirect(rows, lines, structure, specs, per_line, combined, kept))
+    records._ut_kept = kept
+    return records
+
+
+def release(records: DataFrame) -> None:
+    """Frees what trace() keeps for its records (direct uses and tasks), once they are written."""
+    for df in getattr(records, "_ut_kept", []):
+        df.unpersist()
 
 
 def single_name(name: str, origin: dict, lines: DataFrame, lang: str, extensions: tuple[str, ...] = (), **how) -> DataFrame:
     """Uses of one name, a row per line: origin has keyword, src_file, src_lineno, def_file, def_lineno."""
     row = {"name": name} | {c: origin.get(c) for c in TASK[1:]}
     one = lines.sparkSession.createDataFrame([tuple(row[c] for c in TASK)], "name string, keyword string, src_file string, src_lineno string, def_file string, def_lineno int")
-    return track_project(one, by_suffix(lines, extensions), lang, [lang], per_line=True, **how)
+    return uses(placed(one, 0), [Rule(extensions, lang, **how)], lines, per_line=True)
 
 
 def numbered(records: DataFrame) -> DataFrame:
