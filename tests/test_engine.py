@@ -112,6 +112,78 @@ def test_hits(spark, tmp_path):
     assert read_hits(spark, str(tmp_path), "cp932").first().value == "a.c:1:日本"
 
 
+def test_encodings_of_hit_files(spark, tmp_path):
+    text = "a.c:1:日本語の文字列をここに書く\r\nb.c:2:カタカナ x\r\n"
+    want = ["a.c:1:日本語の文字列をここに書く", "b.c:2:カタカナ x"]
+    for name in ("utf-8", "utf-8-sig", "cp932", "euc_jp", "iso2022_jp", "utf-16", "utf-16-le", "utf-16-be"):
+        (tmp_path / f"{name}.grep").write_bytes(text.encode(name))
+    (tmp_path / "west.grep").write_bytes("a.c:1:caf\xe9 cr\xe8me\r\n".encode("cp1252"))
+    (tmp_path / "empty.grep").write_bytes(b"")
+    got = {}
+    for r in read_hits(spark, str(tmp_path)).collect():
+        got.setdefault(r.keyword, []).append(r.value)
+    assert {k: [x for x in sorted(v) if x] for k, v in got.items() if k != "west"} == {n: want for n in ("utf-8", "utf-8-sig", "cp932", "euc_jp", "iso2022_jp", "utf-16", "utf-16-le", "utf-16-be")} | ({"empty": []} if "empty" in got else {})
+    assert [x for x in got["west"] if x] == ["a.c:1:café crème"]
+
+
+def test_command(spark, tmp_path):
+    from usage_trace import cli
+
+    for folder in ("hits", "src"):
+        (tmp_path / folder).mkdir()
+    (tmp_path / "hits" / "V.grep").write_text('A.kt:1:const val A = "V"\n')
+    (tmp_path / "hits" / "NONE.grep").write_text("")
+    (tmp_path / "src" / "A.kt").write_text('const val A = "V"\nval b = A\n')
+    args = ["--input", str(tmp_path / "hits"), "--source", str(tmp_path / "src"), "--output", str(tmp_path / "out")]
+    cli.run(spark, cli.parser().parse_args(args))
+    assert (tmp_path / "out" / "V.tsv").read_bytes().count(b"\r\n") == 3 and (tmp_path / "out" / "NONE.tsv").read_bytes().count(b"\r\n") == 1
+    assert cli.main(["--input", str(tmp_path), "--source", str(tmp_path), "--output", "x"]) == 1 and cli.main([]) == 1
+
+
+def test_prefilter(spark):
+    from usage_trace.operators.tokens import prefilter
+
+    lines = tree(spark, {"a": "xFOOx b", "b": "f(a.b, 1)", "c": "q", "d": "日FOO"})
+    files = lambda *names: sorted(r.filepath for r in prefilter(lines, spark.createDataFrame([(n,) for n in names], "name string")).collect())
+    assert files("FOO") == ["a", "d"] and files("a.b", "q") == ["b", "c"] and files("b") == ["a", "b"] and files("日") == ["a", "b", "c", "d"] and files("nowhere") == []
+
+
+def test_scan_of_constants_alone(spark):
+    lines = tree(spark, {"A.java": 'static final String N = "V";\nN();\nx = N;'})
+    got = lambda **how: sorted(x[3] for x in short(trace(hits_of(spark, ("V", 'A.java:1:static final String N = "V";')), lines, **how)) if x[0] == INDIRECT)
+    assert got() == [3] and got(combined=False) == [2, 3]
+
+
+def test_tasks_beyond_the_broadcast(spark, monkeypatch):
+    from usage_trace.operators import track
+
+    lines = tree(spark, {"A.kt": 'const val A = "V"\nval b = A + A', "a.sh": "V=x\necho ${V} $V", "p.pl": "our $A = 1;\nprint $A;\nA();"})
+    hits = hits_of(spark, ("V", 'A.kt:1:const val A = "V"'), ("x", "a.sh:1:V=x"), ("1", "p.pl:1:our $A = 1;"))
+    few = short(trace(hits, lines))
+    monkeypatch.setattr(track.uses, "__defaults__", (False, 0))
+    assert short(trace(hits, lines)) == few and len(few) == 7
+
+
+def test_boundaries_and_plain_searches(spark):
+    """Shortened boundaries and the search before a pattern change no label."""
+    import random
+    import re
+
+    from usage_trace.functions.classify import RULES
+    from usage_trace.functions.text import literals
+
+    r = random.Random(4)
+    parts = ["if", "while", "(", "return", "static", "final", " ", "x", "=", "==", "日", "_", "@", "const", "val", "print", "#", "define", "$", "eq", "-eq", "use", "é", "1", "Dim", "export", "."]
+    code = ["".join(r.choice(parts) for _ in range(r.randint(1, 9))) for _ in range(400)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(code)], "i int, line string")
+    for lang in ("java", "sh", "perl", "dotnet", "kotlin"):
+        want = [next((label for p, label in RULES[lang] if re.search(p, x.strip())), "その他") for x in code]
+        assert [x.u for x in df.select("i", usage(F.col("line"), lang).alias("u")).orderBy("i").collect()] == want
+    for p in (p for rules in RULES.values() for p, _ in rules):
+        if literals(p):
+            assert all(any(x in line for x in literals(p)) for line in code if re.search(p.removeprefix("(?i)"), line))
+
+
 def test_text(spark):
     row = spark.createDataFrame([("　a\x1f ", "x\r\ny\x0cz\u2028\n")], "s string, t string").select(strip(F.col("s")).alias("s"), split_lines(F.col("t")).alias("l")).first()
     assert row.s == "a" and row.l == ["x", "y", "z", ""]

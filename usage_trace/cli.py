@@ -1,6 +1,7 @@
 """python -m usage_trace.cli --input HITS --source TREE --output OUT [--lang LANG] [--encoding NAME]
 
-Traces all keywords (*.grep files in HITS) over TREE and writes OUT/keyword=.../ result files.
+Traces all keywords (*.grep files in HITS) over TREE and writes OUT/KEYWORD.tsv for each, header first. With --partitioned, or an
+OUT that is no local folder, results are OUT/keyword=.../ part files, which pass no driver.
 Exit codes: 0 done, 1 bad arguments or no hit files, 2 failure.
 """
 
@@ -10,16 +11,16 @@ import argparse
 import os
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from usage_trace.functions.classify import RULES
 from usage_trace.operators.java_structure import structures
 from usage_trace.operators.quality import kind_counts, unread_files
 from usage_trace.plans.languages import by_suffix
-from usage_trace.plans.trace import trace
+from usage_trace.plans.trace import release, trace
 from usage_trace.sources.files import file_lines, read_files
 from usage_trace.sources.hits import count_hits, read_hits
-from usage_trace.sources.results import write_results
+from usage_trace.sources.results import write_keyword_files, write_results
 
 
 def parser() -> argparse.ArgumentParser:
@@ -29,6 +30,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--output", required=True, help="folder for results")
     p.add_argument("--lang", choices=sorted(RULES), help="label all hits by the rules of one language")
     p.add_argument("--encoding", help="encoding of hits and sources; else it is found file by file")
+    p.add_argument("--partitioned", action="store_true", help="write part files by keyword, without the driver")
     p.add_argument("--per-line", action="store_true", help="report a line once for a name, however often it has it")
     return p
 
@@ -40,10 +42,21 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
     lines = file_lines(known)
     structure = structures(known.where("suffix = '.java'")).persist()
     records = trace(hits, lines, roots=(os.path.abspath(args.source), args.source), structure=structure, only=args.lang, per_line=args.per_line)
-    write_results(records, args.output)
-    count_hits(hits).orderBy("keyword").show(1000, truncate=False)
-    kind_counts(records).orderBy("keyword").show(1000, truncate=False)
-    unread_files(known, structure).show(truncate=False)
+    if args.partitioned or "://" in args.output:
+        write_results(records, args.output)
+    else:
+        write_keyword_files(records, keywords(spark, args.input, hits), args.output)
+    for title, rows, order in (("hits", count_hits(hits), "keyword"), ("uses", kind_counts(records), "keyword"), ("unread", unread_files(known, structure), "filepath")):
+        for row in rows.orderBy(order).toLocalIterator():
+            print(title, *row, sep="\t")
+    release(records)
+
+
+def keywords(spark: SparkSession, path: str, hits: DataFrame) -> DataFrame:
+    """keyword of each hit file, of empty ones too."""
+    if "://" in path:
+        return hits.select("keyword")
+    return spark.createDataFrame([(n.removesuffix(".grep"),) for n in sorted(os.listdir(path)) if n.endswith(".grep")], "keyword string")
 
 
 def main(argv: list[str] | None = None) -> int:

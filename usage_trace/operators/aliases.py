@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from usage_trace.functions.text import regex, strip
+from usage_trace.sources.scratch import written
 
 DEEPEST = 10
 
@@ -22,14 +22,14 @@ def alias_edges(lines: DataFrame) -> DataFrame:
 def closure(names: DataFrame, edges: DataFrame, deepest: int = DEEPEST) -> DataFrame:
     """name, alias, depth: every other name that leads to name in at most deepest steps, each once.
 
-    Each step joins the last one's new pairs only, and is kept, so a step isn't made again for the next; the walk ends at
+    Each step joins the last one's new pairs only, and is written, so a step isn't made again for the next; the walk ends at
     the first step without pairs. An alias has one target, so a pair is reached along one path, and cycles end where they
     come back to the name.
     """
     step, found = names.select(F.col("name"), F.col("name").alias("alias")).distinct(), None
-    edges = edges.select(F.col("alias").alias("__ut_next"), "target").persist(StorageLevel.MEMORY_AND_DISK)
+    edges = written(edges.select(F.col("alias").alias("__ut_next"), "target"), "alias-edges")
     for depth in range(1, deepest + 1):
-        step = step.join(edges, F.col("alias") == F.col("target")).select("name", F.col("__ut_next").alias("alias")).where("alias <> name").persist(StorageLevel.MEMORY_AND_DISK)
+        step = written(step.join(edges, F.col("alias") == F.col("target")).select("name", F.col("__ut_next").alias("alias")).where("alias <> name"), "aliases")
         rows = step.withColumn("depth", F.lit(depth))
         found = rows if found is None else found.unionByName(rows)
         if step.isEmpty():

@@ -18,12 +18,11 @@ def kind_counts(records: DataFrame) -> DataFrame:
 
 
 def unread_files(files: DataFrame, structure: DataFrame | None = None) -> DataFrame:
-    """encoding_errors and fallback_files: sorted arrays of paths, in one row."""
-    failed = files.agg(F.array_sort(F.collect_set(F.when(F.col("failed"), F.col("filepath")))).alias("encoding_errors"))
+    """filepath, what: a row for each file that couldn't be decoded ("encoding_errors") or whose structure wasn't understood ("fallback_files")."""
+    failed = files.where("failed").select("filepath", F.lit("encoding_errors").alias("what"))
     if structure is None:
-        return failed.withColumn("fallback_files", F.array().cast("array<string>"))
-    fell = structure.agg(F.array_sort(F.collect_set(F.when(~F.col("understood"), F.col("filepath")))).alias("fallback_files"))
-    return failed.join(fell)
+        return failed.distinct()
+    return failed.unionByName(structure.where(~F.col("understood")).select("filepath", F.lit("fallback_files").alias("what"))).distinct()
 
 
 def _last(records: DataFrame, order: str | None, value: str) -> DataFrame:
@@ -83,6 +82,7 @@ def unpaired(inputs: DataFrame, expected: DataFrame, column: str = "keyword") ->
 
 def summary(score: dict) -> str:
     """The lines that stand at the head of a report; score: a row of scores()."""
+    # The lines' words, here and in report().
     mark = lambda x, least: "OK" if x >= least else "WARN"
     missing, wrong = score["expected_total"] - score["matched"], score["matched"] - score["correct"]
     lines = [
@@ -94,10 +94,10 @@ def summary(score: dict) -> str:
 
 
 def report(expected: DataFrame, actual: DataFrame, lang: str = "", timestamp: str = "") -> str:
-    """A Markdown report of one comparison; what it lists is small enough to be read."""
+    """A Markdown report of one comparison. Rows stream to it, a section at a time; it is as long as what went wrong."""
     score = scores(expected, actual).first().asDict()
-    rows = compared(expected, actual).where("outcome <> 'correct'").orderBy("filepath", F.expr("coalesce(try_cast(lineno AS bigint), 0)"), "ref_type").collect()
-    of = lambda o: [r for r in rows if r["outcome"] == o]
+    wrong = compared(expected, actual).orderBy("filepath", F.expr("coalesce(try_cast(lineno AS bigint), 0)"), "ref_type")
+    of = lambda o: wrong.where(F.col("outcome") == o).toLocalIterator()
     title = "# KPI 計測レポート" + (f" ({lang})" if lang else "") + (f" — {timestamp}" if timestamp else "")
 
     def section(head, columns, cells, none="（なし）"):

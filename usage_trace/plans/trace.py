@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +20,7 @@ from usage_trace.plans.languages import by_suffix as suffixes
 from usage_trace.schema import DIRECT, GETTER, SETTER
 from usage_trace.sources.files import resolve
 from usage_trace.sources.hits import parse_hits
+from usage_trace.sources.scratch import drop, written
 
 SHEBANG = r"^#!\s*(?:.*/)?(?:env\s+)?(\S+)"
 
@@ -146,7 +146,7 @@ def _java_tasks(rows: DataFrame, lines: DataFrame, structure: DataFrame | None,
 def indirect(rows: DataFrame, lines: DataFrame, structure: DataFrame | None = None, specs: tuple[LanguageSpec, ...] = SPECS, per_line: bool = False, combined: bool = True, kept: list[DataFrame] | None = None) -> DataFrame:
     """Records of uses through names. Languages without a seed among rows are left out of the plan.
 
-    kept: gets what was persisted on the way.
+    kept: gets the tables that were written on the way.
     """
     present = {(r["lang"], r["usage_type"]) for r in rows.select("lang", "usage_type").distinct().collect()}  # a few labels
     rules: list[Rule] = []
@@ -164,7 +164,7 @@ def indirect(rows: DataFrame, lines: DataFrame, structure: DataFrame | None = No
             found.append(placed(spec.seek(rows.where(F.col("lang") == spec.name), lines), len(rules) - 1))
     if not found:
         return direct_records(rows).limit(0)
-    own = reduce(DataFrame.unionByName, found).persist(StorageLevel.MEMORY_AND_DISK)
+    own = written(reduce(DataFrame.unionByName, found), "tasks")
     if kept is not None:
         kept.append(own)
     return uses(own, rules, lines, per_line)
@@ -177,7 +177,8 @@ def trace(hits: DataFrame, lines: DataFrame, roots: tuple[str, ...] = (), struct
     structure: operators.java_structure.structures of the Java files; without it Java is labelled by regular expressions,
     and locals aren't followed. combined: names of all kinds are one scan, in which a constant followed by "(" is no use of it.
     """
-    rows = direct(parse_hits(hits), lines, roots, specs, only, structure).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = direct(parse_hits(hits), lines, roots, specs, only, structure)
+    rows = written(rows, "direct")
     kept = [rows]
     records = direct_records(rows).unionByName(indirect(rows, lines, structure, specs, per_line, combined, kept))
     records._ut_kept = kept
@@ -185,9 +186,8 @@ def trace(hits: DataFrame, lines: DataFrame, roots: tuple[str, ...] = (), struct
 
 
 def release(records: DataFrame) -> None:
-    """Frees what trace() keeps for its records (direct uses and tasks), once they are written."""
-    for df in getattr(records, "_ut_kept", []):
-        df.unpersist()
+    """Deletes what trace() wrote for its records (direct uses and tasks), when they are needed no more; else the application's end does."""
+    drop(*getattr(records, "_ut_kept", []))
 
 
 def single_name(name: str, origin: dict, lines: DataFrame, lang: str, extensions: tuple[str, ...] = (), **how) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from usage_trace.schema import DIRECT, GETTER, INDIRECT, OTHER, SETTER
 from usage_trace.sources.files import file_lines
 from usage_trace.sources.hits import count_hits, parse_hits
 from usage_trace.sources.results import rendered
+from usage_trace.sources.scratch import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,6 +52,11 @@ def _sql(spark: SparkSession, d: str, text: str, *names: str) -> DataFrame:
     return spark.sql(f"WITH {', '.join(heads)} SELECT * FROM ({text}) q")
 
 
+def tree(spark: SparkSession, d: str, *langs: str) -> DataFrame:
+    """The corpora of languages as one tree, written first, as a real tree is there before it is traced."""
+    return written(reduce(DataFrame.unionByName, [code(spark, d, x) for x in langs]), "tree")
+
+
 def code(spark: SparkSession, d: str, lang: str) -> DataFrame:
     return _sql(spark, d, corpus(lang), "part", "lineitem")
 
@@ -204,7 +211,7 @@ def _traced(lang: str):
 
     @query(f"trace_{lang}", oracle)
     def run(spark, d):
-        lines = code(spark, d, lang)
+        lines = tree(spark, d, lang)
         return trace(_hits(lines), lines)
 
 
@@ -218,26 +225,25 @@ _JAVA = f"""WITH code AS ({corpus('java')}), hit AS ({_HIT}), task AS (SELECT re
 
 @query("trace_java", _JAVA.replace("ON tok = name OR rtrim(tok) = name", "ON rtrim(tok) = name"))
 def _trace_java(spark, d):
-    lines = code(spark, d, "java")
+    lines = tree(spark, d, "java")
     return trace(_hits(lines), lines)
 
 
 @query("trace_per_line", ORACLES["trace_kotlin"].replace("SELECT filepath, lineno, line, tok AS tok", "SELECT DISTINCT filepath, lineno, line, tok AS tok"))
 def _per_line(spark, d):
-    lines = code(spark, d, "kotlin")
+    lines = tree(spark, d, "kotlin")
     return trace(_hits(lines), lines, per_line=True)
 
 
-_MIXED = ("kotlin", "ts", "python")
+_MIXED = tuple(TEMPLATES)
 
 
 @query("trace_mixed_tree", "SELECT split_part(filepath, '/', 1) AS tree, ref_type, usage_type, count(*) AS n, count(DISTINCT keyword) AS keywords FROM (" + " UNION ALL ".join(f"SELECT * FROM ({ORACLES[f'trace_{lang}']}) q_{lang}" for lang in _MIXED) + ") a GROUP BY ALL")
 def _trace_mixed(spark, d):
     """The corpora of several languages as one tree, traced at once; rows per language, kind and label."""
-    lines = None
-    for lang in _MIXED:
-        own = code(spark, d, lang)
-        lines = own if lines is None else lines.unionByName(own)
+    # Pro*C looks at C's files and the other way round, so its names are made others than C's here, and the SQL can take the trees one by one
+    own = F.when(F.startswith("filepath", F.lit("proc/")), F.regexp_replace("line", r"\b([PAB])_", "$1Q_")).otherwise(F.col("line"))
+    lines = written(reduce(DataFrame.unionByName, [code(spark, d, x) for x in _MIXED]).withColumn("line", own), "tree")
     rows = trace(_hits(lines), lines)
     return rows.groupBy(F.substring_index("filepath", "/", 1).alias("tree"), "ref_type", "usage_type").agg(F.count("*").alias("n"), F.countDistinct("keyword").alias("keywords"))
 
@@ -326,11 +332,11 @@ def _token_counts(spark, d):
 @query(
     "benchmark_words_in_documents",
     f"""WITH names AS (SELECT DISTINCT unnest(regexp_extract_all(text, '{_WORDS}')) AS name FROM benchmark)
-    SELECT 'documents/' || doc_id || '.' || lang AS filepath, CAST(count(*) AS BIGINT) AS n, count(DISTINCT tok) AS n_names FROM (SELECT doc_id, lang, unnest(regexp_extract_all(text, '{_WORDS}')) AS tok FROM documents) t JOIN names ON tok = name WHERE len(name) >= 12 GROUP BY ALL""",
+    SELECT 'documents/' || doc_id || '.' || lang AS filepath, CAST(count(*) AS BIGINT) AS n, count(DISTINCT tok) AS n_names FROM (SELECT doc_id, lang, unnest(regexp_extract_all(text, '{_WORDS}')) AS tok FROM documents) t JOIN names ON tok = name GROUP BY ALL""",
 )
 def _benchmark_words(spark, d):
     names = tokenizer.tokens(_tables(spark, d, "benchmark")["benchmark"].select(F.col("item_id").cast("string").alias("filepath"), F.lit(1).alias("lineno"), F.col("text").alias("line")))
-    names = names.select(F.col("tok").alias("name")).where(F.length("tok") >= 12).distinct()
+    names = names.select(F.col("tok").alias("name")).distinct()
     met = tokenizer.occurrences(QUERIES["lines_documents"](spark, d), names)
     return met.groupBy("filepath").agg(F.count("*").alias("n"), F.countDistinct("tok").alias("n_names"))
 
@@ -396,10 +402,10 @@ def _kinds(spark, d):
     return quality.kind_counts(QUERIES["trace_kotlin"](spark, d))
 
 
-@query("unpaired_keywords", "SELECT DISTINCT p_brand AS keyword, 'input' AS side FROM part WHERE p_size > 25 AND p_brand NOT IN (SELECT p_brand FROM part WHERE p_size < 3) UNION ALL SELECT DISTINCT p_brand, 'expected' FROM part WHERE p_size < 3 AND p_brand NOT IN (SELECT p_brand FROM part WHERE p_size > 25)")
+@query("unpaired_keywords", "SELECT DISTINCT 'k' || p_partkey AS keyword, 'input' AS side FROM part WHERE p_size >= 40 UNION ALL SELECT DISTINCT 'k' || p_partkey, 'expected' FROM part WHERE p_size <= 10")
 def _unpaired(spark, d):
-    part = _tables(spark, d, "part")["part"].select(F.col("p_brand").alias("keyword"), "p_size")
-    return quality.unpaired(part.where("p_size > 25").select("keyword"), part.where("p_size < 3").select("keyword"))
+    part = _tables(spark, d, "part")["part"].select(F.concat(F.lit("k"), "p_partkey").alias("keyword"), "p_size")
+    return quality.unpaired(part.where("p_size > 10").select("keyword"), part.where("p_size < 40").select("keyword"))
 
 
 # --- beyond SQL -----------------------------------------------------------------------------------------------------

@@ -60,6 +60,37 @@ def write_result_file(records: DataFrame, path: str) -> int:
     return n
 
 
+def write_keyword_files(records: DataFrame, keywords: DataFrame, folder: str) -> int:
+    """folder/KEYWORD.tsv for each keyword (column keyword), with the header alone if it has no rows; the rows written.
+
+    For results that people read, on the driver's disk: all rows stream through once, in order, one partition at a time.
+    """
+    import os
+
+    os.makedirs(folder, exist_ok=True)
+    head, n, name, file = "\t".join(HEADERS) + "\r\n", 0, None, None
+
+    def begun(keyword: str):
+        f = open(os.path.join(folder, f"{keyword}.tsv"), "w", encoding="utf-8-sig", newline="")
+        f.write(head)
+        return f
+
+    for row in keywords.select("keyword").distinct().toLocalIterator():
+        begun(row["keyword"]).close()
+    try:
+        for row in rendered(records).toLocalIterator():
+            if row["keyword"] != name:
+                if file:
+                    file.close()
+                name, file = row["keyword"], begun(row["keyword"])
+            file.write(row["value"] + "\r\n")
+            n += 1
+    finally:
+        if file:
+            file.close()
+    return n
+
+
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     """Rows of result files; the header is skipped, missing fields are empty."""
     rows = spark.read.schema(RECORD).option("sep", "\t").option("header", "true").option("quote", '"').option("escape", '"').option("multiLine", "true").option("enforceSchema", "true").csv(path)
