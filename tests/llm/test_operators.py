@@ -126,6 +126,9 @@ def test_license_scan(spark):
         for t in templates:
             p = model._softmax([x / model.temperature for x in model.logits(license_scan._features(license_scan._words(t)))])
             assert model.classes[p.index(max(p))] == name, t
+    others = ["Licensed under the Eclipse Public License 2.0", "Licensed under the ISC license", "Distributed under the Boost Software License, Version 1.0.", "Licensed under the Foo Bar Public License, version 7", "Licensed under the European Union Public Licence", "Released under the Unlicense", "GNU Affero General Public License, version 3"]
+    got = {x.doc_id: x.family for x in license_scan.scan(docs_of(spark, others)).collect()}
+    assert [got[i] for i in range(7)] == ["epl", "isc", "boost", "unknown", "eupl", "unlicense", "agpl"]
     assert license_scan.scan(docs_of(spark, texts).limit(0)).count() == 0
     plan = license_scan.scan(docs_of(spark, texts))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
@@ -474,3 +477,28 @@ def test_nearest_among_clusters(spark):
         dist[q] = np.inf
         hit += len({m.vec_id for m in got if m.query_id == q} & set(np.argsort(dist)[:10].tolist()))
     assert hit >= 0.9 * 800
+
+
+def test_license_scores_against_python(spark):
+    """The plan's sums, choice and confirmation, worked out again from the model for each paragraph."""
+    model, r = license_scan.default_model(), random.Random(12)
+    table = {x["gram"]: x for x in model.table()}
+    words = [w for t in license_scan.TEMPLATES.values() for x in t for w in license_scan._words(x)]
+    lines = [" ".join(r.choice(words) for _ in range(r.randint(2, 14))) for _ in range(60)] + [x for t in license_scan.TEMPLATES.values() for x in t] + license_scan.PLAIN
+    lines += [lines[70], "licence " * 30_000, "Licensed under the MIT License " * 4000]
+    got = {(x.doc_id, x.paragraph): x for x in license_scan.classify(docs_of(spark, lines)).collect()}
+    k, cue = len(model.classes), license_scan._cue
+    for i, line in enumerate(lines):
+        w = license_scan._words(line)
+        grams, pairs = set(w) | license_scan._pairs(w), license_scan._pairs(w)
+        known = [table[g] for g in grams if g in table]
+        p = model._softmax([(model.bias[c] + sum(x["w"][c] for x in known)) / model.temperature for c in range(k)])
+        if not known or not any(map(cue, w)) or p[-1] >= license_scan.IDLE - 1e-9:
+            assert (i, 0) not in got or abs(p[-1] - license_scan.IDLE) < 1e-6
+            continue
+        best = max(range(k), key=lambda c: p[c])
+        weight = sum(table[g]["g"] if g in table and table[g]["g"] else 1 for g in pairs)
+        similar = sum(table[g]["t"][best] for g in pairs if g in table) / weight if best < k - 1 and weight else 0.0
+        sure = best < k - 1 and p[best] >= model.threshold and similar >= license_scan.CONFIRM
+        x = got[i, 0]
+        assert x.score == pytest.approx(p[best]) and x.similarity == pytest.approx(similar) and x.family == (model.classes[best] if sure else "unknown")

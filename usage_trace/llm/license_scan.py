@@ -1,12 +1,13 @@
 """License scans: a trained paragraph classifier, confirmed by comparison with templates.
 
-A paragraph is a line. Its features are its distinct words and pairs of words that hold a cue (a word with one
-of STEMS in it, such as "licen"), so a paragraph without a cue has none and is no licence paragraph: texts
+A paragraph is a line. Its features are its distinct words and pairs of words, if it holds a cue (a word with one
+of STEMS in it, such as "licen"); a paragraph without a cue has none and is no licence paragraph, and texts
 without any stem are passed over after one look. Multinomial logistic regression, fitted on the driver to
 variants of the templates below and to plain sentences with cues, gives a probability for each licence
 family and for `unknown`. These are calibrated by a temperature fitted to variants that weren't trained on, and
 a family that doesn't reach the confidence at which those variants are right is unknown. A paragraph that is unknown
-with a probability of IDLE or more says nothing of licences and is none. A prediction is confirmed if enough of the paragraph's pairs of words are in the family's template.
+with a probability of IDLE or more says nothing of licences and is none. A prediction is confirmed if enough of the paragraph's pairs of words
+are in the family's template, where a pair that many families have ("licensed under") weighs little.
 
 Training sees the fixed templates alone and the model's size is fixed by them; scoring is DataFrame
 operations: one pass over the texts, joins of the few paragraphs with cues to the model's table.
@@ -22,7 +23,9 @@ import functools
 import json
 import math
 import random
+from collections import Counter
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,8 +61,6 @@ TEMPLATES = {
         "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
         "You should have received a copy of the GNU General Public License along with this program.",
         "Licensed under the GPL, version 2",
-        "Released under the GNU Lesser General Public License, version 2.1",
-        "Licensed under the GNU Affero General Public License, version 3",
         "SPDX-License-Identifier: GPL-2.0-only",
     ],
     "mit": [
@@ -73,8 +74,31 @@ TEMPLATES = {
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
         "Licensed under the Mozilla Public License, version 2.0",
     ],
+    "agpl": [
+        "Licensed under the GNU Affero General Public License, version 3",
+        "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+        "SPDX-License-Identifier: AGPL-3.0-only",
+    ],
+    "artistic": ["Licensed under the Artistic License 2.0", "This library is free software; you can redistribute it under the terms of the Artistic License", "SPDX-License-Identifier: Artistic-2.0"],
+    "boost": ["Distributed under the Boost Software License, Version 1.0.", "Licensed under the Boost Software License. See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt", "SPDX-License-Identifier: BSL-1.0"],
+    "cddl": ["The contents of this file are subject to the terms of the Common Development and Distribution License", "Licensed under the CDDL, version 1.0", "SPDX-License-Identifier: CDDL-1.0"],
+    "epl": ["Licensed under the Eclipse Public License 2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/", "SPDX-License-Identifier: EPL-2.0"],
+    "eupl": ["Licensed under the EUPL, Version 1.2", "Licensed under the European Union Public Licence", "You may not use this work except in compliance with the Licence, the European Union Public Licence", "SPDX-License-Identifier: EUPL-1.2"],
+    "gfdl": ["Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License", "Text is available under the GNU Free Documentation License", "SPDX-License-Identifier: GFDL-1.3-only"],
+    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "Licensed under the ISC License", "SPDX-License-Identifier: ISC"],
+    "lgpl": [
+        "Released under the GNU Lesser General Public License, version 2.1",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+        "Licensed under the LGPL, version 3",
+        "SPDX-License-Identifier: LGPL-2.1-only",
+    ],
+    "mspl": ["This source is subject to the Microsoft Public License", "Licensed under the Microsoft Public License (Ms-PL)", "SPDX-License-Identifier: MS-PL"],
+    "odbl": ["This database is made available under the Open Database License", "Licensed under the Open Data Commons Open Database License (ODbL)", "SPDX-License-Identifier: ODbL-1.0"],
+    "ofl": ["This Font Software is licensed under the SIL Open Font License, Version 1.1.", "Licensed under the SIL Open Font License", "SPDX-License-Identifier: OFL-1.1"],
+    "unlicense": ["This is free and unencumbered software released into the public domain.", "For more information, please refer to the Unlicense at http://unlicense.org", "Released under the Unlicense", "SPDX-License-Identifier: Unlicense"],
+    "wtfpl": ["Licensed under the WTFPL", "Do what the fuck you want to public license", "SPDX-License-Identifier: WTFPL"],
+    "zlib": ["This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.", "Licensed under the zlib License", "SPDX-License-Identifier: Zlib"],
     "public domain": [
-        "This is free and unencumbered software released into the public domain.",
         "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work under the CC0 1.0 Universal public domain dedication.",
         "This work is in the public domain",
     ],
@@ -111,7 +135,7 @@ STEMS = ("licen", "copyright", "gpl", "apache", "gnu", "warrant", "permission",
 #: Stems that are words by themselves only, as they are parts of many words.
 WHOLE = ("cc", "mit", "gnu", "domain", "creative")
 SPLIT = r"[^a-z0-9]+"
-#: Share of a paragraph's pairs of words that confirms a family; probability of `unknown` from which a paragraph is none.
+#: Share (by weight) of a paragraph's pairs of words that confirms a family; probability of `unknown` from which a paragraph is none.
 CONFIRM, IDLE = 0.5, 0.9
 
 
@@ -126,7 +150,8 @@ def _cue(word: str) -> bool:
 
 
 def _features(w: list[str]) -> set[str]:
-    return {x for x in w if _cue(x)} | {f"{a} {b}" for a, b in zip(w, w[1:]) if _cue(a) or _cue(b)}
+    """Words and pairs of a paragraph with a cue; none without."""
+    return set(w) | _pairs(w) if any(map(_cue, w)) else set()
 
 
 def _pairs(w: list[str]) -> set[str]:
@@ -143,27 +168,23 @@ class Model:
         data = [(self._vary(text, r), k) for text, k in rows for _ in range(variants)] + [(_words(t), k) for t, k in rows]
         held = [(self._vary(text, r), k) for text, k in rows for _ in range(4)]
         classes = len(self.classes)
-        self.weights: dict[str, list[float]] = {}
-        self.bias = [0.0] * classes
-        examples = [(_features(w), k) for w, k in data]
-        share = [1 / classes / max(1, sum(k == c for _, k in examples)) for c in range(classes)]
+        found = [_features(w) for w, _ in data]
+        names = sorted(set().union(*[_features(_words(t)) for t, _ in rows]))  # what variants add is noise
+        place = {x: i for i, x in enumerate(names)}
+        x, y = np.zeros((len(data), len(names))), np.zeros((len(data), classes))
+        for i, (f, (_, k)) in enumerate(zip(found, data)):
+            x[i, [place[n] for n in f if n in place]] = 1
+            y[i, k] = 1
+        share = y @ (1 / classes / np.maximum(1, y.sum(0)))  # all classes weigh the same
+        w, b = np.zeros((len(names), classes)), np.zeros(classes)
         for step in range(steps):
-            gradient: dict[str, list[float]] = {}
-            g0 = [0.0] * classes
-            for f, k in examples:
-                p = self._softmax(self.logits(f))
-                e = [share[k] * ((c == k) - p[c]) for c in range(classes)]
-                for c in range(classes):
-                    g0[c] += e[c]
-                for x in f:
-                    g = gradient.setdefault(x, [0.0] * classes)
-                    for c in range(classes):
-                        g[c] += e[c]
-            rate = 20 / (1 + step / 50)
-            self.bias = [b + rate * 0.2 * g for b, g in zip(self.bias, g0)]
-            for x, g in gradient.items():
-                w = self.weights.setdefault(x, [0.0] * classes)
-                self.weights[x] = [a + rate * (b - 2e-5 * a) for a, b in zip(w, g)]
+            z = x @ w + b
+            p = np.exp(z - z.max(1, keepdims=True))
+            e = share[:, None] * (y - p / p.sum(1, keepdims=True))
+            rate = 20 * classes / 8 / (1 + step / 50)
+            b += rate * 0.2 * e.sum(0)
+            w += rate * (x.T @ e - 2e-5 * w)
+        self.bias, self.weights = b.tolist(), dict(zip(names, w.tolist()))
         # what isn't known should not be claimed: a paragraph with features that say nothing is unknown
         self.bias[-1] = max(self.bias) + 0.5
         logits = [(self.logits(_features(w)), k) for w, k in held]
@@ -202,10 +223,15 @@ class Model:
         return [v / s for v in e]
 
     def table(self) -> list[dict]:
-        """gram, w (a weight for each class, empty if it isn't a feature), t (whether each family's template has it)."""
+        """gram, w (a weight for each class, empty if it isn't a feature), t (for each family, what the pair weighs if its template has it), g (that weight, 0 if no template has it).
+
+        A pair weighs the less the more families have it; one that no template has weighs 1.
+        """
         has = {k: set().union(*[_pairs(_words(t)) for t in TEMPLATES[k]]) for k in TEMPLATES}
-        grams = sorted(self.weights.keys() | set().union(*has.values()))
-        return [{"gram": g, "w": self.weights.get(g, [0.0] * len(self.classes)), "t": [int(g in has[k]) for k in TEMPLATES]} for g in grams]
+        families = Counter(p for pairs in has.values() for p in pairs)
+        grams = sorted(self.weights.keys() | families.keys())
+        weigh = lambda g: 1 / families[g] if g in families else 0.0
+        return [{"gram": g, "w": self.weights.get(g, [0.0] * len(self.classes)), "t": [weigh(g) if g in has[k] else 0.0 for k in TEMPLATES], "g": weigh(g)} for g in grams]
 
 
 @functools.lru_cache(maxsize=1)
@@ -229,14 +255,14 @@ def classify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, paragraph, family, score, similarity: of each paragraph with a cue that is in the model."""
     model = model or default_model()
     spark, k = docs.sparkSession, len(model.classes)
-    schema = "array<struct<gram:string,w:array<double>,t:array<int>>>"
+    schema = "array<struct<gram:string,w:array<double>,t:array<double>,g:double>>"
     table = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(model.table())), schema)).alias("m")).select("m.*")
     rows = paragraphs(docs).select("doc_id", "paragraph", "pairs", F.explode("grams").alias("gram")).join(F.broadcast(table), "gram")
-    sums = rows.groupBy("doc_id", "paragraph", "pairs").agg(*[F.sum(F.get("w", F.lit(c))).alias(f"w{c}") for c in range(k)], *[F.sum(F.get("t", F.lit(c))).alias(f"t{c}") for c in range(k - 1)])
+    sums = rows.groupBy("doc_id", "paragraph", "pairs").agg(*[F.sum(F.get("w", F.lit(c))).alias(f"w{c}") for c in range(k)], *[F.sum(F.get("t", F.lit(c))).alias(f"t{c}") for c in range(k - 1)], (F.sum(F.when(F.col("g") > 0, F.col("g") - 1).otherwise(0)) + F.col("pairs")).alias("all"))
     logit = [(F.col(f"w{c}") + F.lit(model.bias[c])) / F.lit(model.temperature) for c in range(k)]
     top = F.greatest(*logit)
     total = functools.reduce(Column.__add__, [F.exp(x - top) for x in logit])
-    choices = F.array_sort(F.array(*[F.struct((-F.exp(x - top) / total).alias("p"), F.lit(model.classes[c]).alias("family"), (F.col(f"t{c}") / F.greatest("pairs", F.lit(1)) if c < k - 1 else F.lit(0.0)).alias("similarity")) for c, x in enumerate(logit)]))
+    choices = F.array_sort(F.array(*[F.struct((-F.exp(x - top) / total).alias("p"), F.lit(model.classes[c]).alias("family"), (F.try_divide(F.col(f"t{c}"), F.col("all")) if c < k - 1 else F.lit(0.0)).alias("similarity")) for c, x in enumerate(logit)]))
     idle = F.exp(logit[-1] - top) / total
     best = sums.where(idle < IDLE).select("doc_id", "paragraph", choices.alias("c")).select("doc_id", "paragraph", F.get("c", F.lit(0)).alias("b"))
     sure = (F.col("b.family") != UNKNOWN) & (-F.col("b.p") >= model.threshold) & (F.col("b.similarity") >= CONFIRM)
