@@ -1,8 +1,8 @@
 """What the engine knows of each language, as data.
 
 A Seed says which direct uses start a trace (by label and extractor) and where their names are looked for. A new
-language is one more LanguageSpec passed to trace(..., specs=...), with its rules and, where seeds aren't enough, a
-function that makes its tasks.
+language is one more LanguageSpec passed to trace(..., specs=...), with its rules in functions.classify.RULES and, where
+seeds aren't enough, a function that makes its tasks.
 """
 
 from __future__ import annotations
@@ -39,7 +39,6 @@ class LanguageSpec:
     extensions: tuple[str, ...]
     shebangs: tuple[str, ...] = ()
     seeds: tuple[Seed, ...] = field(default=())
-    rules: tuple[tuple[str, str], ...] = ()  # (pattern, label) by priority, for a language that classify.RULES hasn't
     seek: Callable[[DataFrame, DataFrame], DataFrame] | None = None  # (direct uses, lines) to tasks of its own, as columns of track.TASK
 
 
