@@ -153,6 +153,26 @@ def test_lm_scores(spark):
     assert lm_scoring.query(docs_of(spark, texts).limit(0)).count() == 0
 
 
+def test_lm_steps_sum_repeated_rows():
+    """A step against the plain sum of each row's gradients, also of gradients that lie column by column."""
+    r = np.random.default_rng(0)
+    p = lm_scoring.Parameters(np.full(30, 1 / 30))
+    for n in (1, 2, 7, 600):
+        rows, gradient = r.integers(0, 30, n).astype(np.int16), r.standard_normal((n, 34)).astype(np.float32)
+        sums = np.zeros((30, 34), np.float64)
+        for row, g in zip(rows, gradient):
+            sums[row] += g
+        hit = np.isin(np.arange(30), rows)
+        for order in ("C", "F"):
+            value, squares = np.ones((30, 34), np.float32), np.full((30, 34), 1e-2, np.float32)
+            p._step(value, squares, rows, np.array(gradient, order=order), 0.3)
+            assert np.allclose(squares[hit], 1e-2 + sums[hit] ** 2, rtol=1e-4, atol=1e-5) and (squares[~hit] == np.float32(1e-2)).all()
+            assert np.allclose(value[hit], 1 + 0.3 * sums[hit] / np.sqrt(1e-2 + sums[hit] ** 2), rtol=1e-4, atol=1e-5) and (value[~hit] == 1).all()
+    for n in (1, 2, 511, 513):  # last batches of any size
+        p.train(r.integers(0, 30, (n, 3)).astype(np.int16), r, 0.3)
+    assert np.isfinite(p.flat()).all()
+
+
 def test_lm_is_normalised():
     r = np.random.default_rng(0)
     p = lm_scoring.Parameters(np.full(30, 1 / 30))

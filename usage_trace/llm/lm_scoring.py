@@ -23,6 +23,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,9 @@ END = b""  # no word is empty
 
 
 def tokens(text: bytes | None) -> list[bytes]:
-    return [*(text or b"").lower().split(), END]
+    found = (text or b"").lower().split()
+    found.append(END)
+    return found
 
 
 def class_of(token: bytes) -> int:
@@ -92,8 +95,7 @@ class Vocabulary:
     def look_up(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         """Outputs of a text's tokens; their places in the head, -1 if not there; those not there."""
         found = tokens(text)
-        get = self.index.get
-        places = np.fromiter((get(t, -1) for t in found), np.int32, len(found))
+        places = np.fromiter(map(self.index.get, found, repeat(-1)), np.int32, len(found))
         rare = np.flatnonzero(places < 0)
         ids = self.ids[places] if len(self.ids) else np.zeros(len(found), np.int16)
         others = [found[i] for i in rare.tolist()]
@@ -157,42 +159,55 @@ class Parameters:
     def _step(self, value: np.ndarray, squares: np.ndarray, rows: np.ndarray, gradient: np.ndarray, rate) -> None:
         """AdaGrad; rows may repeat."""
         order = np.argsort(rows, kind="stable")  # of short integers, so by radix
-        sorted_ = rows[order]
+        sorted_ = rows.take(order)
         firsts = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
-        own, sums = sorted_[firsts], np.add.reduceat(gradient.take(order, axis=0), firsts, axis=0)
-        more = squares[own] + sums**2
+        own = sorted_.take(firsts)
+        pairs = np.ascontiguousarray(gradient).view(np.complex64).take(order, axis=0)  # two columns an addition
+        sums = np.add.reduceat(pairs, firsts, axis=0).view(np.float32)
+        more = squares.take(own, axis=0)
+        more += sums * sums
         squares[own] = more
-        value[own] += rate * sums / np.sqrt(more)
+        np.sqrt(more, out=more)
+        np.divide(sums, more, out=sums)
+        sums *= rate
+        sums += value.take(own, axis=0)
+        value[own] = sums
 
     def train(self, windows: np.ndarray, r: np.random.Generator, rate: float) -> None:
         """Noise-contrastive steps: each batch shares its noise tokens."""
         if self.squares is None:
-            self.squares = [np.full((len(self.q), WIDTH + 1), 1e-2, np.float32), np.full_like(self.x, 1e-2), np.full_like(self.c, 1e-2)]
+            self.squares = [np.full((len(self.q), WIDTH + 2), 1e-2, np.float32), np.full_like(self.x, 1e-2), np.full_like(self.c, 1e-2)]
         sq, sx, sc = self.squares
-        qb = np.concatenate([self.q, self.b[:, None]], axis=1)  # the bias is the weight of a constant
-        rates = np.full(WIDTH + 1, rate, np.float32)
-        rates[-1] *= 0.5
-        scale, windows = np.float32(1 / 64), windows[r.permutation(len(windows))]
+        qb = np.concatenate([self.q, self.b[:, None], np.zeros_like(self.b)[:, None]], axis=1)  # the bias is the weight of a constant; an even number of columns
+        rates = np.full(WIDTH + 2, rate, np.float32)
+        rates[WIDTH] *= 0.5
+        scale, windows = np.float32(1 / 64), windows.take(r.permutation(len(windows)), axis=0)
+        context = np.ones((BATCH, WIDTH + 2), np.float32)
+        context[:, -1] = 0
         for k in range(0, len(windows), BATCH):
-            w2, w1, w = (windows[k : k + BATCH, i].copy() for i in range(3))
+            w2, w1, w = windows[k : k + BATCH].T.copy()
             noise = np.minimum(np.searchsorted(self.noise, r.random(NOISE)), len(self.b) - 1).astype(np.int16)
             x1, x2, q, qn = self.x.take(w1, axis=0), self.x.take(w2, axis=0), qb.take(w, axis=0), qb.take(noise, axis=0)
-            h = np.ones((len(w), WIDTH + 1), np.float32)
-            h[:, :-1] = x1 * self.c[0] + x2 * self.c[1]
-            true = scale / (1 + np.exp(np.clip(np.einsum("ij,ij->i", h, q) - self.log_noise[w], -30, 30)))  # 1 - P(data)
-            false = h @ qn.T
-            false -= self.log_noise[noise]
-            np.clip(false, -30, 30, out=false)
-            np.exp(-false, out=false)
+            h = context[: len(w)]
+            np.multiply(x1, self.c[0], out=h[:, :WIDTH])
+            h[:, :WIDTH] += x2 * self.c[1]
+            true = scale / (1 + np.exp(np.clip(np.einsum("ij,ij->i", h, q) - self.log_noise.take(w), -30, 30)))  # 1 - P(data)
+            against = -qn
+            against[:, WIDTH] += self.log_noise.take(noise)
+            false = h @ against.T
+            with np.errstate(over="ignore"):  # beyond the largest number, 1 / exp is 0
+                np.exp(false, out=false)
             false += 1
             np.divide(scale, false, out=false)  # P(data)
-            dh = true[:, None] * q[:, :-1] - false @ qn[:, :-1]
-            self._step(qb, sq, np.concatenate([w, noise]), np.concatenate([true[:, None] * h, -(false.T @ h)]), rates)
+            towards = true[:, None] * h
+            dh = true[:, None] * q[:, :WIDTH]
+            dh -= false @ qn[:, :WIDTH]
+            self._step(qb, sq, np.concatenate([w, noise]), np.concatenate([towards, -(h.T @ false).T]), rates)
             dc = np.stack([np.einsum("ij,ij->j", dh, x1), np.einsum("ij,ij->j", dh, x2)])
             self._step(self.x, sx, np.concatenate([w1, w2]), np.concatenate([dh * self.c[0], dh * self.c[1]]), rate)
             sc += dc**2
             self.c += np.float32(rate * 0.1) * dc / np.sqrt(sc)
-        self.q, self.b = qb[:, :-1].copy(), qb[:, -1].copy()
+        self.q, self.b = qb[:, :WIDTH].copy(), qb[:, WIDTH].copy()
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Log10 factors of (w1, w) and (w2, w), and log10 normalisers of (w1, w2)."""
