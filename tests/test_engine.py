@@ -164,6 +164,35 @@ def test_tasks_beyond_the_broadcast(spark, monkeypatch):
     assert short(trace(hits, lines)) == few and len(few) == 7
 
 
+def test_families_in_turn(spark, monkeypatch):
+    """Sums of a mixed tree, a family of languages at a time, are those of the whole trace; a write leaves no shuffle files."""
+    from usage_trace.operators import track
+    from usage_trace.plans.languages import SPECS, families
+    from usage_trace.plans.trace import FAMILY, family, summed_up
+    from usage_trace.sources.scratch import written
+
+    ends = [e for _, own in families() for e in own]
+    assert len(ends) == len(set(ends)) and sorted(s.name for own, _ in families() for s in own) == sorted(s.name for s in SPECS)
+    assert {"c", "proc"} in [{s.name for s in own} for own, _ in families()]
+    lines = tree(spark, {
+        "a.kt": 'const val A = "k"\nval x = A + A', "b.kt": "return A", "d.c": '#define D "k"\n#define E D\nif (E > 1) {', "d.pc": 'y = D;\n#define F "k"', "d.h": "g(F, E);",
+        "run": '#!/bin/sh\nV="k"\necho ${V} A', "old": '#!/usr/bin/perl\nuse constant P => "k";', "p.pl": "print P;", "n.txt": 'A "k"', "Q.SQL": 'v_q VARCHAR2(9) := "k";\nV_Q := 1;',
+    })
+    found = lines.where(F.contains("line", F.lit('"k"'))).select(F.lit("k").alias("keyword"), F.concat_ws(":", "filepath", F.col("lineno").cast("string"), "line").alias("value"))
+    by = lambda records: records.groupBy("keyword", "ref_type", "usage_type", "filepath", "lineno", "code", "src_var", "src_file").count()
+    whole = sorted(map(tuple, by(trace(found, lines)).collect()))
+    assert {r[3] for r in whole} == {"a.kt", "b.kt", "d.c", "d.pc", "d.h", "run", "old", "p.pl", "n.txt", "Q.SQL"}
+    kept = written([lines.where("filepath < 'd'"), lines.where("filepath >= 'd'")], "tree", **{FAMILY: family(F.col("filepath"))})
+    for most in (track.FEW, 0):
+        monkeypatch.setattr(track.uses, "__defaults__", (False, most))
+        assert sorted(map(tuple, summed_up(found, lines, by).collect())) == whole
+        assert sorted(map(tuple, summed_up(found, kept, by).collect())) == whole
+    blocks = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(" ").count("shuffle_")
+    before = blocks()
+    written(spark.range(1000).repartition(3).groupBy((F.col("id") % 7).alias("k")).count(), "sums")
+    assert blocks() <= before
+
+
 def test_boundaries_and_plain_searches(spark):
     """Shortened boundaries and the search before a pattern change no label."""
     import random
