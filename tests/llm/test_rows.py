@@ -4,11 +4,13 @@ import random
 from collections import Counter
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from usage_trace.llm import mixing, near_copies, simhash, substring_dedup
 from usage_trace.llm.common import numbered
+from usage_trace.llm.simhash import components
 
 r = random.Random(31)
 VOCABULARY = ["".join(r.choice("abcdefghijklm") for _ in range(r.randint(3, 9))) for _ in range(500)]
@@ -58,6 +60,44 @@ def test_components_against_all_pairs(spark, chunk):
     assert {x.doc_id: x.least.d for x in got} == dict(enumerate(label))
 
 
+def test_candidates_are_simhash_ties(spark):
+    """Bits are majorities; blocks of any depth, exact copies and large groups give the components of all pairs within the budgets."""
+    rng = np.random.default_rng(3)
+    draw = lambda n: rng.integers(0, 1 << 64, n, np.uint64)
+    assert (near_copies.fingerprints_of(one := draw(1)) == near_copies.fingerprints_of(np.concatenate([one] * 301))).all()
+    pair = draw(2)
+    both = [np.unpackbits(near_copies.fingerprints_of(x)).astype(bool) for x in (pair[:1], pair[1:], pair)]
+    assert (both[2] == both[0] & both[1]).all() and 0.4 < both[0].mean() < 0.6
+    sets = []
+    for n in (40, 300, 700):
+        base = draw(n)
+        sets += [np.concatenate([base[k:], draw(k)]) for k in rng.integers(0, n // 6, 20)]
+    bits = np.stack([near_copies.fingerprints_of(x) for x in sets])
+    ones = np.unpackbits(bits, axis=1, bitorder="little").reshape(len(sets), near_copies.TABLES, near_copies.BITS)
+    label = np.arange(len(sets))
+    for i, j in combinations(range(len(sets)), 2):
+        apart = ones[i] != ones[j]
+        if apart.sum(1).min() <= near_copies.BUDGET and apart.reshape(-1)[: near_copies.CHECKED].sum() <= near_copies.FAR and label[i] != label[j]:
+            label[label == max(label[i], label[j])] = min(label[i], label[j])
+    assert len(set(label)) < 30
+    nodes = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(bits)], "node long, bits binary")
+    for depth in (0, 5):
+        met = nodes.mapInArrow(near_copies._dealt(depth), "table int, block int, entries binary").groupBy("table", "block").applyInPandas(near_copies._tied, "a long, b long")
+        found = {x.node: x.root for x in components(met).collect()}
+        assert [found.get(i, i) for i in range(len(sets))] == label.tolist()
+    entries = np.zeros(3000, near_copies._ENTRY)  # of one fingerprint and those next to it, with two checks
+    entries["fp"], entries["own"], entries["check"] = np.sort(np.arange(3000) % 3), True, np.repeat(np.array([0, 2**64 - 1], np.uint64)[(np.arange(3000) % 7 == 0).astype(int)][:, None], 3, axis=1)
+    assert near_copies.ties(entries).tolist() == [0 if i % 7 == 0 else 1 for i in range(3000)]
+
+
+@pytest.mark.parametrize("block", [4, 1 << 19])
+def test_near_copies_in_small_blocks(spark, block):
+    texts = [" ".join(f"w{i}x{k}" for k in range(90)) for i in range(15)]
+    texts += [t.replace("x44 ", "y44 ") for t in texts[:10]] + texts[:3]
+    got = near_copies.labelled(numbered(frame(spark, list(enumerate(texts)))), block=block).collect()
+    assert {x.doc_id: x.least.d for x in got} == dict(enumerate([*range(15), *range(10), *range(3)]))
+
+
 def test_repeats_by_row(spark):
     docs = frame(spark, [(1, P), (2, P), (2, B), (None, P), (None, U), (7, B + "\n" + U), (4, None)])
     got = [(x.doc_id, x.text) for x in substring_dedup.query(docs).collect()]

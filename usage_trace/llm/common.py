@@ -10,6 +10,8 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from usage_trace.sources.scratch import shuffles_deleted
+
 #: Runs of anything but ASCII white space; Java, RE2 and Python read it alike.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
@@ -92,7 +94,8 @@ def staged(df: DataFrame, name: str, outlives: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with shuffles_deleted(spark):
+        df.write.option("compression", "zstd").parquet(path)
     within = _blocks[:-1] if outlives else _blocks
     if within:
         within[-1].append((spark, path))

@@ -107,7 +107,7 @@ def blocks(fps: DataFrame, n: int, budget: int = BUDGET, block: int = BLOCK, mos
         rows = below.join(below.where("own").select("node").distinct(), "node", "left_semi")
 
 
-def close_pairs(a: np.ndarray, b: np.ndarray | None = None, budget: int = BUDGET, top: int = 64):
+def close_pairs(a: np.ndarray, b: np.ndarray | None = None, budget: int = BUDGET, top: int = 64, most: int = SLICE):
     """Yields index arrays (i, j) of all pairs within the budget: of sorted unique a with itself (i < j), or with b.
 
     The traversal of node pairs: a node is a range of the sorted array, found by its next bit.
@@ -119,8 +119,8 @@ def close_pairs(a: np.ndarray, b: np.ndarray | None = None, budget: int = BUDGET
     todo = [(top - 1, one([0]), one([len(a)]), one([0]), one([len(b)]), one([0]))]
     while todo:
         bit, a0, a1, b0, b1, spent = todo.pop()
-        if len(a0) > SLICE:
-            todo += [(bit, *(x[k : k + SLICE] for x in (a0, a1, b0, b1, spent))) for k in range(0, len(a0), SLICE)]
+        if len(a0) > most:
+            todo += [(bit, *(x[k : k + most] for x in (a0, a1, b0, b1, spent))) for k in range(0, len(a0), most)]
             continue
         na, nb = a1 - a0, b1 - b0
         few = (na * nb <= 16) | (bit < 0)
