@@ -5,6 +5,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,6 +91,23 @@ def test_candidates_are_simhash_ties(spark):
     assert near_copies.ties(entries).tolist() == [0 if i % 7 == 0 else 1 for i in range(3000)]
 
 
+@pytest.mark.parametrize("n", [300, 900])
+@pytest.mark.parametrize("depth", [0, 3])
+def test_links_of_a_large_group(n, depth):
+    """The tables name the same pairs where they can, so a group of near copies has a few links a node, not one for each table (39 a node and more), and they still hold it together."""
+    rng = np.random.default_rng(5)
+    base, bits = rng.integers(0, 1 << 64, 300, np.uint64), []
+    for _ in range(n):
+        one, k = base.copy(), rng.integers(1, 40)
+        one[rng.choice(300, k, replace=False)] = rng.integers(0, 1 << 64, k, np.uint64)
+        bits.append(near_copies.fingerprints_of(one).tobytes())
+    nodes = pa.RecordBatch.from_pydict({"node": pa.array(rng.permutation(n), pa.int64()), "bits": pa.array(bits, pa.binary())})
+    dealt = next(near_copies._dealt(depth)([nodes])).to_pandas()
+    links = {tuple(x) for _, block in dealt.groupby(["table", "block"]) for x in near_copies._tied(block).to_numpy().tolist()}
+    simhash.unite(parent := np.arange(n), *np.array(sorted(links)).T)
+    assert not parent.any() and len(links) <= 4 * n * (1 + depth)
+
+
 @pytest.mark.parametrize("block", [4, 1 << 19])
 def test_near_copies_in_small_blocks(spark, block):
     texts = [" ".join(f"w{i}x{k}" for k in range(90)) for i in range(15)]
