@@ -522,3 +522,10 @@ def test_license_scores_against_python(spark):
         sure = best < k - 1 and p[best] >= model.threshold and similar >= license_scan.CONFIRM
         x = got[i, 0]
         assert x.score == pytest.approx(p[best]) and x.similarity == pytest.approx(similar) and x.family == (model.classes[best] if sure else "unknown")
+
+
+def test_license_plan_is_small(spark):
+    """The driver holds a plan and its text many times over, so neither the model's table nor a class's share of all classes is spelled out in it."""
+    df = license_scan.scan(docs_of(spark, ["Released under the MIT License", "licensed", None]))
+    plan = df._jdf.queryExecution()
+    assert len(plan.optimizedPlan().toString()) < 50_000 and len(plan.executedPlan().toString()) < 50_000

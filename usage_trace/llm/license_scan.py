@@ -20,12 +20,12 @@ as one document; an empty table gives an empty result; further columns are ignor
 from __future__ import annotations
 
 import functools
-import json
 import math
 import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -251,20 +251,32 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     return some.select("doc_id", "paragraph", grams.alias("g")).select("doc_id", "paragraph", F.concat("g.one", "g.two").alias("grams"), F.size("g.two").alias("pairs"))
 
 
+def _let(value: Column, f) -> Column:
+    """f(value), with value worked out once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _softmax(logits: Column) -> Column:
+    """The probabilities of an array of logits. Written over the array, as one expression for each class would hold those of all classes."""
+    exps = _let(logits, lambda z: _let(F.array_max(z), lambda top: F.transform(z, lambda x: F.exp(x - top))))
+    return _let(exps, lambda e: _let(F.aggregate(e, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(e, lambda x: x / total)))
+
+
 def classify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, paragraph, family, score, similarity: of each paragraph with a cue that is in the model."""
     model = model or default_model()
     spark, k = docs.sparkSession, len(model.classes)
-    schema = "array<struct<gram:string,w:array<double>,t:array<double>,g:double>>"
-    table = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(model.table())), schema)).alias("m")).select("m.*")
+    weights = pa.list_(pa.float64())
+    held = pa.Table.from_pylist(model.table(), pa.schema([("gram", pa.string()), ("w", weights), ("t", weights), ("g", pa.float64())]))
+    table = spark.createDataFrame(held)  # rows of a table, not a literal: plans are told as text again and again, and the driver holds them
     rows = paragraphs(docs).select("doc_id", "paragraph", "pairs", F.explode("grams").alias("gram")).join(F.broadcast(table), "gram")
     sums = rows.groupBy("doc_id", "paragraph", "pairs").agg(*[F.sum(F.get("w", F.lit(c))).alias(f"w{c}") for c in range(k)], *[F.sum(F.get("t", F.lit(c))).alias(f"t{c}") for c in range(k - 1)], (F.sum(F.when(F.col("g") > 0, F.col("g") - 1).otherwise(0)) + F.col("pairs")).alias("all"))
-    logit = [(F.col(f"w{c}") + F.lit(model.bias[c])) / F.lit(model.temperature) for c in range(k)]
-    top = F.greatest(*logit)
-    total = functools.reduce(Column.__add__, [F.exp(x - top) for x in logit])
-    choices = F.array_sort(F.array(*[F.struct((-F.exp(x - top) / total).alias("p"), F.lit(model.classes[c]).alias("family"), (F.try_divide(F.col(f"t{c}"), F.col("all")) if c < k - 1 else F.lit(0.0)).alias("similarity")) for c, x in enumerate(logit)]))
-    idle = F.exp(logit[-1] - top) / total
-    best = sums.where(idle < IDLE).select("doc_id", "paragraph", choices.alias("c")).select("doc_id", "paragraph", F.get("c", F.lit(0)).alias("b"))
+    logits = F.array(*[(F.col(f"w{c}") + F.lit(model.bias[c])) / F.lit(model.temperature) for c in range(k)])
+    each = sums.select("doc_id", "paragraph", _softmax(logits).alias("p"), F.array(*[f"t{c}" for c in range(k - 1)]).alias("t"), "all")
+    names = F.array(*map(F.lit, model.classes))
+    similarity = lambda c: F.when(c < k - 1, F.try_divide(F.get("t", c), F.col("all"))).otherwise(0.0)
+    choices = F.transform("p", lambda p, c: F.struct((-p).alias("p"), F.get(names, c).alias("family"), similarity(c).alias("similarity")))
+    best = each.where(F.get("p", F.lit(k - 1)) < IDLE).select("doc_id", "paragraph", F.array_min(choices).alias("b"))
     sure = (F.col("b.family") != UNKNOWN) & (-F.col("b.p") >= model.threshold) & (F.col("b.similarity") >= CONFIRM)
     return best.select("doc_id", "paragraph", F.when(sure, F.col("b.family")).otherwise(UNKNOWN).alias("family"), (-F.col("b.p")).alias("score"), F.col("b.similarity").alias("similarity"))
 
