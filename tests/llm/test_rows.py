@@ -1,16 +1,19 @@
 """Rows that repeat a doc_id, or have none, are documents of their own: nothing unique goes, copies go, and the mix takes the rows that it counted."""
 
+import gc
 import random
+import tracemalloc
 from collections import Counter
 from itertools import combinations
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from usage_trace.llm import mixing, near_copies, simhash, substring_dedup
-from usage_trace.llm.common import numbered
+from usage_trace.llm import language_id, mixing, near_copies, simhash, substring_dedup
+from usage_trace.llm.common import SLICE, numbered
 from usage_trace.llm.simhash import components
 
 r = random.Random(31)
@@ -134,3 +137,48 @@ def test_mix_emits_the_rows_it_counted(spark):
     assert Counter((x.doc_id, x.size) for x in found) == taken and {(x.Copy, x.copies) for x in found} == {("old", 5)}
     assert Counter((x.doc_id, x.size, x.copy_2) for x in found) == Counter((*k, i) for k, n in taken.items() for i in range(1, n + 1))
     assert mixing.emit(docs.drop("Copy")).columns[-1] == "copy"
+
+
+def held(function, batches):
+    """What the function yields for batches as rows, the most rows at once, and the most MB of Python and numpy at a time."""
+    out, most = [], 0
+    for b in function(iter(batches)):
+        most = max(most, b.num_rows)
+        del b
+    gc.collect()
+    tracemalloc.start()
+    for b in function(iter(batches)):
+        del b
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    for b in function(iter(batches)):
+        out += b.to_pylist()
+    return out, most, peak
+
+
+def test_workers_hold_few_texts_at_once():
+    """A batch of Spark's has 10,000 texts, and a worker is to hold the objects of a few hundred at most."""
+    long = "".join(r.choice("abcdefgh") for _ in range(20_000))
+    texts = [None, "", "short one"] + [" ".join(long[k * 7 + i * 200 :][:200] for i in range(70)) + "." for k in range(900)] + ["a b c"]
+    ids = pa.array(range(len(texts)), pa.int64())
+    columns = {"doc_id": ids, near_copies.ROW: ids}
+    model = SimpleNamespace(value=SimpleNamespace(predict=lambda t: (str(len(t or "")), 1.0)))
+    repeated = pa.array([None] * len(texts), pa.list_(pa.int32()))
+    cases = [
+        (near_copies._nodes, columns | {"text": pa.array([t and t.encode() for t in texts], pa.binary())}),
+        (substring_dedup._hashes(2, 20), columns | {"text": pa.array([t or "" for t in texts])}),
+        (substring_dedup._cuts(2, 20), columns | {"text": pa.array(texts), "__ut_repeated": repeated}),
+        (language_id._predictor(model), columns | {"text": pa.array(texts)}),
+    ]
+    for function, data in cases:
+        batch = pa.RecordBatch.from_pydict(data)
+        whole, most, peak = held(function, [batch.slice(0, 0), batch])
+        assert peak < 11, (function, peak)  # the texts have 12.7 MB
+        assert whole == held(function, [batch.slice(i, 1) for i in range(batch.num_rows)])[0]
+        if function.__name__ != "hashes":
+            assert len(whole) == len(texts) and most <= SLICE
+    nodes = pa.RecordBatch.from_pydict({"node": pa.array(range(5000), pa.int64()), "bits": pa.array([r.randbytes(144) for _ in range(5000)], pa.binary())})
+    dealt, _, peak = held(near_copies._dealt(0), [nodes])
+    entries = Counter((x["table"], n) for x in dealt for n in np.frombuffer(x["entries"], near_copies._ENTRY)["node"].tolist())
+    assert len(entries) == near_copies.TABLES * 5000 and set(entries.values()) == {1}
+    assert peak < 9, peak  # all entries have 9.8 MB

@@ -5,8 +5,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,9 @@ GAP = r"[\x20\x09-\x0D]+"
 #: The number of a row, by which operators tell rows apart, as ids may be null or repeat. Names that start with __ut_ are reserved.
 ROW = "__ut_row"
 
+#: Rows of texts that a Python worker holds as objects at once.
+SLICE = 256
+
 _roots: dict[str, tuple] = {}
 
 
@@ -114,6 +119,13 @@ def rank(doc_id: str = "doc_id") -> Column:
     return F.struct(F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1)).alias("d"), F.col(ROW).alias("row"))
 
 
+def sliced(batches: Iterable[pa.RecordBatch], most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """All rows in order, at most so many at once: Spark's batches have 10,000 rows, whose objects and results a worker would hold together and keep as its size."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, most):
+            yield batch.slice(at, most)
+
+
 def words(text: Column) -> Column:
     """The words of a text; an empty array for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), GAP), "")

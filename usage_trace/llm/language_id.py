@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from usage_trace.llm.common import crc_mod
+from usage_trace.llm.common import crc_mod, sliced
 
 PER_LANGUAGE, LONGEST, BUCKETS = 400, 20_000, 4096
 UNKNOWN = "und"
@@ -159,7 +159,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
 def _predictor(shared):
     def predict(batches):
         model = shared.value
-        for batch in batches:
+        for batch in sliced(batches):
             found = [model.predict(t) for t in batch.column("text").to_pylist()]
             kept = {c: batch.column(c) for c in batch.schema.names}
             yield pa.RecordBatch.from_pydict(kept | {"__ut_lang": pa.array([x for x, _ in found], pa.string()), "__ut_score": pa.array([s for _, s in found], pa.float64())})

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructType
 
-from usage_trace.llm.common import ROW, numbered, rank, scratch, staged
+from usage_trace.llm.common import ROW, numbered, rank, scratch, sliced, staged
 
 RUN, WORDS, LONG = 2, 20, 50
 #: Up to a stop before white space or a wide stop, or to the line's end.
@@ -93,7 +93,7 @@ def cut(text: str, found: list[tuple[int, int, bytes]], repeated: set[int]) -> t
 
 def _hashes(run: int, least: int):
     def hashes(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             of, at, h = [], [], []
             for k, text in enumerate(batch.column("text").to_pylist()):
                 first: dict[bytes, int] = {}
@@ -112,7 +112,7 @@ def _hashes(run: int, least: int):
 
 def _cuts(run: int, least: int):
     def cuts(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [cut(t, spans(t, run, least), set(r or ())) if t else (t, 0, 0) for t, r in zip(batch.column("text").to_pylist(), batch.column("__ut_repeated").to_pylist())]
             texts, n, gone = zip(*rows) if rows else ((), (), ())
             kept = {c: batch.column(c) for c in batch.schema.names if c != "__ut_repeated"}
