@@ -119,6 +119,24 @@ def test_near_copies_in_small_blocks(spark, block):
     assert {x.doc_id: x.least.d for x in got} == dict(enumerate([*range(15), *range(10), *range(3)]))
 
 
+def test_texts_of_their_own_are_no_candidates(spark):
+    """Chance meetings of fingerprints grow with the square of their number, so only texts that share shingles get any; pairs at a similarity of 0.8 always do."""
+    rng = np.random.default_rng(8)
+    own, n = [prose(20) for _ in range(200)], 40
+    near = [t.replace(t.split()[30], "changed", 1) for t in own[:n]]
+    texts = own + near + [own[0], "", None, "one two"]
+    rows = numbered(frame(spark, list(enumerate(texts)))).select("doc_id", near_copies.ROW, F.col("text").cast("binary").alias("text"))
+    made = rows.mapInArrow(near_copies._nodes, f"doc_id long, {near_copies.ROW} long, node long, size long, bits binary, low array<long>")
+    leaves = made.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bits").alias("bits"), F.first("low").alias("low"))
+    got = near_copies.sharing(leaves).join(leaves.select("node", "doc_id"), "node").collect()
+    assert sorted(x.doc_id for x in got) == [*range(n), *range(200, 200 + n)]
+    for both, a, b in ((4, 0, 1), (16, 4, 0), (16, 2, 2), (40, 5, 5), (400, 100, 0), (800, 100, 100)):
+        for _ in range(300):
+            drawn = rng.integers(0, 1 << 64, both + a + b, np.uint64)
+            low = [set(np.sort(x)[: near_copies.LOWEST].tolist()) for x in (drawn[: both + a], np.concatenate([drawn[:both], drawn[both + a :]]))]
+            assert len(low[0] & low[1]) >= near_copies.SHARED
+
+
 def test_repeats_by_row(spark):
     docs = frame(spark, [(1, P), (2, P), (2, B), (None, P), (None, U), (7, B + "\n" + U), (4, None)])
     got = [(x.doc_id, x.text) for x in substring_dedup.query(docs).collect()]
