@@ -1,5 +1,6 @@
 """The tracing engine on hand-written lines."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,11 +9,12 @@ from usage_trace.functions import extract
 from usage_trace.functions.classify import usage
 from usage_trace.functions.text import lines as split_lines
 from usage_trace.functions.text import strip
-from usage_trace.operators import aliases, quality, scopes
+from usage_trace.operators import aliases, java_structure, quality, scopes
 from usage_trace.operators.java_structure import Structure, structures
 from usage_trace.operators.tokens import tokens
 from usage_trace.plans.trace import language
 from usage_trace.schema import DIRECT, GETTER, INDIRECT, SETTER
+from usage_trace.sources import scratch
 from usage_trace.sources.encoding import sniff
 from usage_trace.sources.hits import count_hits, parse_hits, read_hits
 from usage_trace.sources.results import read_results, sorted_records, write_result_file, write_results
@@ -374,3 +376,26 @@ def test_query_against_sql(spark, name):
     assert columns == sorted(want.columns)
     as_rows = lambda x: sorted(map(tuple, x[columns].astype(str).values.tolist()))
     assert as_rows(got) == as_rows(want)
+
+
+def test_java_structure_a_few_files_at_once():
+    """A batch of Spark's has 10,000 files; their objects are held for FILES at most, and a file gives a row whatever is in it."""
+    texts = [JAVA, None, "", "class {"] * 50
+    batch = pa.RecordBatch.from_pydict({"filepath": [f"{i}.java" for i in range(200)], "text": texts})
+    got = list(java_structure._read([batch.slice(0, 0), batch]))
+    assert max(x.num_rows for x in got) <= java_structure.FILES and [p for x in got for p in x.column("filepath").to_pylist()] == batch.column("filepath").to_pylist()
+    assert [u for x in got for u in x.column("understood").to_pylist()] == [True, False, False, False] * 50
+
+
+def test_packed_tables_are_not_broadcast_by_their_files(spark):
+    """Files of lines that look alike are some hundred times smaller than the rows that a broadcast would hold."""
+    table = lambda c: scratch.written(spark.range(200_000).select("id", F.repeat(F.lit("x"), 300).alias(c)), "packed")
+    a, b = table("a"), table("b")
+    assert scratch.written(a.join(b, "id"), "joined").count() == 200_000
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    store = spark._jsparkSession.sharedState().statusStore()
+    plans = [store.executionsList().apply(k).physicalPlanDescription() for k in range(store.executionsList().size())]
+    joins = [p for p in plans if "joined-" in p and "SortMergeJoin" in p or "BroadcastHashJoin" in p and "joined-" in p]
+    assert joins and "BroadcastHashJoin" not in joins[-1]
+    assert spark.conf.get(scratch._PACKED) == "1.0"
+    scratch.drop(a, b)
